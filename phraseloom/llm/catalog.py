@@ -3,14 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from phraseloom.llm import canonical, leakage
+from phraseloom.llm import canonical, leakage, packing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.token_counts(table(spark, sf_dir, "documents")))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used, the least number that the tokens need, and the share of room used."""
+    used = p7_packed(spark, sf_dir).where("container is not null")
+    out = used.agg(F.countDistinct("container").alias("n_containers"), F.sum(F.col("tok_end") - F.col("tok_start")).alias("n_tokens"))
+    size = F.lit(packing.CAPACITY)
+    return out.select("n_containers", F.ceil(F.col("n_tokens") / size).alias("least"), (F.col("n_tokens") / (F.col("n_containers") * size)).alias("fill"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
@@ -27,7 +40,7 @@ def p9_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.canonical_texts(table(spark, sf_dir, "documents"), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p8_found, p8_clean, p9_found, p9_texts)}
+QUERIES = {f.__name__: f for f in (p7_packed, p7_fill, p8_found, p8_clean, p9_found, p9_texts)}
 
 # Independent of the operator's short cuts: every test runs on every text.
 _PLAIN = """nfc_normalize(translate(regexp_replace(text, '[\\x{AD}\\x{200B}-\\x{200D}\\x{2060}\\x{FEFF}]', '', 'g'),
