@@ -5,13 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phraseloom.llm import canonical, leakage, packing
+from phraseloom.llm import canonical, leakage, packing, splitting, terms
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+MAGICS = ["SaptIDX2", "SaptIDX3"]
+
+
+def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = splitting.split_sequences(table(spark, sf_dir, "corpus"), table(spark, sf_dir, "vocab"))
+    return out.withColumn("toks", F.array_join("toks", " "))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = splitting.split_sequences(table(spark, sf_dir, "corpus"), table(spark, sf_dir, "vocab"))
+    return pieces.where("piece > 0").select("side", "sid").distinct()
+
+
+def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.segment_sizes(*(table(spark, sf_dir, n) for n in ("corpus", "vocab", "index_headers")), MAGICS)
+
+
+def _vids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.term_counts(table(spark, sf_dir, "tokens"), "vid", "sid", "tok_offset")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vids(spark, sf_dir).where("mark is not null").select("vid", "mark")
+
+
+def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vids(spark, sf_dir)
+
+
+def p2_vocab_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct vids in use and marked, beside the largest src vocabulary size that a header states."""
+    used = _vids(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_vids"), F.count_if(F.col("mark") == "rare").alias("n_rare"), F.count_if(F.col("mark") == "common").alias("n_common"))
+    stated = table(spark, sf_dir, "index_headers").where("side = 'src' and file_kind = 'tdx'").agg(F.max("vocab_size")).first()[0]
+    return used.withColumn("vocab_size", F.lit(stated).cast("bigint"))
+
+
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_counts(table(spark, sf_dir, "documents")))
 
@@ -40,12 +76,23 @@ def p9_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.canonical_texts(table(spark, sf_dir, "documents"), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p7_packed, p7_fill, p8_found, p8_clean, p9_found, p9_texts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_segments, p2_found, p2_counts, p2_vocab_use, p7_packed, p7_fill, p8_found, p8_clean, p9_found, p9_texts)}
 
 # Independent of the operator's short cuts: every test runs on every text.
 _PLAIN = """nfc_normalize(translate(regexp_replace(text, '[\\x{AD}\\x{200B}-\\x{200D}\\x{2060}\\x{FEFF}]', '', 'g'),
   '""" + canonical.WIDE.replace("'", "''") + "', '" + canonical.WIDE_PLAIN.replace("'", "''") + "'))"
+_P2 = """
+with t as (select distinct sid, tok_offset, vid from tokens where vid is not null and sid is not null and tok_offset is not null),
+n as (select count(distinct sid) as n from t),
+c as (select cast(vid as bigint) as vid, count(*) as n_occ, count(distinct sid) as n_records from t group by vid),
+m as (select c.*, case when n_records < 3 then 'rare' when n_records > 0.2 * (select n from n) then 'common' end as mark from c)
+"""
 SQL = {
+    "p1_found": "select side, sid from corpus where len(toks) > 255 group by side, sid",
+    "p2_found": _P2 + "select vid, mark from m where mark is not null",
+    "p2_counts": _P2 + "select vid, n_occ, n_records, mark from m",
+    "p2_vocab_use": _P2 + """select count(*) as n_vids, count_if(mark = 'rare')::bigint as n_rare, count_if(mark = 'common')::bigint as n_common,
+  (select max(vocab_size) from index_headers where side = 'src' and file_kind = 'tdx') as vocab_size from m""",
     "p9_found": f"""
 with d as (select distinct doc_id, text, {_PLAIN} as plain from documents where text is not null)
 select distinct doc_id, form from (
