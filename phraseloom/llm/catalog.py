@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phraseloom.llm import canonical, leakage, packing, splitting, terms
+from phraseloom.llm import canonical, leakage, packing, spans, splitting, terms
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,23 @@ def p2_vocab_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     return used.withColumn("vocab_size", F.lit(stated).cast("bigint"))
 
 
+def _src(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "corpus").where("side = 'src' and toks is not null").select("sid", "toks")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_runs(spans.matched_chains(_src(spark, sf_dir), "sid", "toks"))
+
+
+def p3_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_share(_src(spark, sf_dir), "sid", "toks", p3_found(spark, sf_dir))
+
+
+def p3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    src = _src(spark, sf_dir)
+    return spans.passages(spans.matched_chains(src, "sid", "toks"), src, "sid", "toks")
+
+
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_counts(table(spark, sf_dir, "documents")))
 
@@ -76,7 +93,7 @@ def p9_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.canonical_texts(table(spark, sf_dir, "documents"), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_segments, p2_found, p2_counts, p2_vocab_use, p7_packed, p7_fill, p8_found, p8_clean, p9_found, p9_texts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_segments, p2_found, p2_counts, p2_vocab_use, p3_found, p3_share, p3_passages, p7_packed, p7_fill, p8_found, p8_clean, p9_found, p9_texts)}
 
 # Independent of the operator's short cuts: every test runs on every text.
 _PLAIN = """nfc_normalize(translate(regexp_replace(text, '[\\x{AD}\\x{200B}-\\x{200D}\\x{2060}\\x{FEFF}]', '', 'g'),
@@ -87,7 +104,20 @@ n as (select count(distinct sid) as n from t),
 c as (select cast(vid as bigint) as vid, count(*) as n_occ, count(distinct sid) as n_records from t group by vid),
 m as (select c.*, case when n_records < 3 then 'rare' when n_records > 0.2 * (select n from n) then 'common' end as mark from c)
 """
+_P3 = """
+with s as (select sid, any_value(toks) as toks from corpus where side = 'src' and toks is not null and sid is not null group by sid),
+w as (select sid, o as off, toks[o + 1:o + 25] as win from (select sid, toks, unnest(range(len(toks) - 24)) as o from s where len(toks) >= 25)),
+g as (select win from w group by win having min(sid) <> max(sid)),
+hit as (select w.sid, w.off, row_number() over (partition by w.sid order by w.off) as k from w join g using (win)),
+mark as (select sid, off, case when off <= lag(off) over (partition by sid order by off) + 25 then 0 else 1 end as fresh from hit),
+num as (select sid, off, sum(fresh) over (partition by sid order by off) as run from mark),
+runs as (select sid, cast(min(off) as bigint) as run_start, cast(max(off) + 25 as bigint) as run_end from num group by sid, run)
+"""
 SQL = {
+    "p3_found": _P3 + "select * from runs",
+    "p3_share": _P3 + """
+select s.sid, cast(len(toks) as bigint) as n_tokens, coalesce(n, 0)::bigint as n_shared, case when len(toks) > 0 then coalesce(n, 0)::double / len(toks) end as share
+from s left join (select sid, sum(run_end - run_start) as n from runs group by sid) r using (sid)""",
     "p1_found": "select side, sid from corpus where len(toks) > 255 group by side, sid",
     "p2_found": _P2 + "select vid, mark from m where mark is not null",
     "p2_counts": _P2 + "select vid, n_occ, n_records, mark from m",

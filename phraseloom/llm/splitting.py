@@ -129,10 +129,10 @@ def split_sequences(corpus: DataFrame, vocab: DataFrame, limit: int = LIMIT, ove
 def segment_sizes(corpus: DataFrame, vocab: DataFrame, headers: DataFrame, magics: list[str], limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """Per (side, segment): sentences, pieces after splitting, and the header's ``idx_size``.
 
-    A sentence belongs to the segment of its earliest row that names one; sentences without toks or segment don't
-    count.  The header is the latest 'six' one with a known magic and a size.
+    A sentence belongs to the segment of its earliest row that names one; sentences without a segment don't count, those
+    without toks count as one piece, as in a header.  The header is the latest 'six' one with a known magic and a size.
     """
-    known = corpus.where("toks is not null and side is not null and sid is not null")
+    known = corpus.where("side is not null and sid is not null")
     first = F.min(F.when(F.col("segment_id").isNotNull(), F.struct("ingested_at", "segment_id"))).alias("seg")
     home = known.groupBy("side", "sid").agg(first).select("side", "sid", F.col("seg.segment_id").alias("segment_id")).where("segment_id is not null")
     pieces = split_sequences(corpus, vocab, limit, overlap).groupBy("side", "sid").agg(F.count(F.lit(1)).alias("n"))
