@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phraseloom.llm import canonical, leakage, packing, spans, splitting, terms
+from phraseloom.llm import canonical, leakage, nearsets, packing, spans, splitting, terms
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,15 @@ def p3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.passages(spans.matched_chains(src, "sid", "toks"), src, "sid", "toks")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes, members = nearsets.set_classes(_src(spark, sf_dir), "sid", "toks")
+    return nearsets.close_pairs(members, nearsets.close_classes(classes))
+
+
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearsets.near_groups(_src(spark, sf_dir), "sid", "toks")
+
+
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_counts(table(spark, sf_dir, "documents")))
 
@@ -93,7 +102,7 @@ def p9_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.canonical_texts(table(spark, sf_dir, "documents"), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_segments, p2_found, p2_counts, p2_vocab_use, p3_found, p3_share, p3_passages, p7_packed, p7_fill, p8_found, p8_clean, p9_found, p9_texts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_segments, p2_found, p2_counts, p2_vocab_use, p3_found, p3_share, p3_passages, p6_found, p6_groups, p7_packed, p7_fill, p8_found, p8_clean, p9_found, p9_texts)}
 
 # Independent of the operator's short cuts: every test runs on every text.
 _PLAIN = """nfc_normalize(translate(regexp_replace(text, '[\\x{AD}\\x{200B}-\\x{200D}\\x{2060}\\x{FEFF}]', '', 'g'),
@@ -113,7 +122,23 @@ mark as (select sid, off, case when off <= lag(off) over (partition by sid order
 num as (select sid, off, sum(fresh) over (partition by sid order by off) as run from mark),
 runs as (select sid, cast(min(off) as bigint) as run_start, cast(max(off) + 25 as bigint) as run_end from num group by sid, run)
 """
+_P6 = """
+with s as (select sid, list_distinct(any_value(toks)) as v from corpus where side = 'src' and toks is not null and sid is not null group by sid),
+big as (select sid, list_sort(list_filter(v, lambda x: x is not null)) as v from s),
+u as (select sid, len(v) as n, unnest(v) as vid from big where len(v) >= 12),
+met as (select a.sid as x, b.sid as y, any_value(a.n) as n, any_value(b.n) as m, count(*) as c
+  from u a join u b on a.vid = b.vid and a.sid < b.sid and a.n * 5 >= b.n * 4 and b.n * 5 >= a.n * 4 group by a.sid, b.sid),
+pairs as (select x as sid_a, y as sid_b from met where c * 9 >= (n + m) * 4)
+"""
 SQL = {
+    "p6_found": _P6 + "select * from pairs",
+    "p6_groups": _P6.replace("with s as", "with recursive s as", 1) + """,
+cls as (select sid, min(sid) over (partition by v) as class_id from big where len(v) >= 12),
+edge as (select sid_a as f, sid_b as g from pairs union all select sid_b, sid_a from pairs),
+reach as (select sid as f, sid as g from cls union select r.f, e.g from reach r join edge e on r.g = e.f),
+root as (select f as sid, min(g) as group_id from reach group by f),
+lk as (select a.class_id, count(distinct b.class_id) filter (b.class_id <> a.class_id) as n_links from edge e join cls a on a.sid = e.f join cls b on b.sid = e.g group by 1)
+select cls.sid, cls.class_id, root.group_id, coalesce(n_links, 0)::bigint as n_links from cls join root using (sid) left join lk using (class_id)""",
     "p3_found": _P3 + "select * from runs",
     "p3_share": _P3 + """
 select s.sid, cast(len(toks) as bigint) as n_tokens, coalesce(n, 0)::bigint as n_shared, case when len(toks) > 0 then coalesce(n, 0)::double / len(toks) end as share
