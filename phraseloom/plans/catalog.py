@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from phraseloom.plans import checks
+from phraseloom.plans import checks, index_queries
 
-FLAGSHIP = "p5_found"
-_MODULES = [checks]
+FLAGSHIP = "phrase_count"
+_MODULES = [index_queries, checks]
 
 
 def queries() -> dict:
