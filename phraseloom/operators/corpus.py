@@ -52,7 +52,7 @@ def append(sents: DataFrame, batch: DataFrame, order: list[str], vocab: DataFram
     """
     start = sents.agg(F.coalesce(F.max("sid") + 1, F.lit(0))).first()[0]
     if vocab is not None:
-        unknown = batch.select(F.explode("toks").cast("bigint").alias("vid")).distinct().join(vocab.select("vid").distinct(), "vid", "left_anti").first()
+        unknown = batch.select(F.explode(F.col("toks").cast("array<bigint>")).alias("vid")).distinct().join(vocab.select("vid").distinct(), "vid", "left_anti").first()
         if unknown is not None:
             raise KeyError(f"unknown id {unknown.vid}")
     return sents.select("sid", "toks").unionByName(ranked(batch, order, "sid", start).select("sid", "toks"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phraseloom.operators import phrases as P
@@ -15,6 +15,11 @@ from phraseloom.operators.trie import dump_lines, trie_nodes
 from phraseloom.schemas import MAX_LEAF
 
 
+def _key() -> Column:
+    """A node's path as text."""
+    return F.concat_ws(" ", F.transform("path", lambda v: v.cast("string")))
+
+
 class TokenIndex:
     """A ranked suffix array over sentences ``sid, toks`` with its first tokens as columns ``v0 ..``."""
 
@@ -112,8 +117,8 @@ class Span:
 
     def tree_path(self, trie: DataFrame) -> list[tuple[int, ...]]:
         """Trie nodes on the way to this span, root first."""
-        heads = [list(self.sequence[:d]) for d in range(len(self.sequence) + 1)]
-        rows = trie.where(F.col("path").isin(heads) if heads else F.lit(False)).select("path").collect()
+        heads = [" ".join(map(str, self.sequence[:d])) for d in range(len(self.sequence) + 1)]
+        rows = trie.where(_key().isin(heads)).select("path").collect()
         return sorted((tuple(r.path) for r in rows), key=len)
 
     def tree_depth(self, trie: DataFrame) -> int:
@@ -121,6 +126,5 @@ class Span:
 
     def in_array(self, trie: DataFrame) -> bool:
         """Whether the span has reached a suffix-array leaf."""
-        last = list(self.tree_path(trie)[-1])
-        found = trie.where(F.size("path") == len(last)).where(F.concat_ws(" ", F.transform("path", lambda v: v.cast("string"))) == " ".join(map(str, last))).first()
-        return found.is_leaf
+        last = " ".join(map(str, self.tree_path(trie)[-1]))
+        return trie.where(_key() == last).first().is_leaf
