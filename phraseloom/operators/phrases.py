@@ -6,7 +6,7 @@ and counts in one pass over the sentences, with many it shuffles both sides.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phraseloom.functions.columns import with_eos
@@ -21,18 +21,19 @@ def lengths(phrases: DataFrame) -> list[int]:
     return sorted(r[0] for r in phrases.select(F.size("q").alias("n")).where("n > 0").distinct().collect() if r[0] <= MAX_LEN + 1)
 
 
-def _grams(toks: Column, base: Column, n: int) -> Column:
-    """Windows of ``n`` tokens of a sentence with its implied end; none starts at that end."""
-    full = with_eos(toks)
-    starts = F.when(F.size(toks) + 1 >= n, F.sequence(F.lit(0), F.least(F.size(toks) - 1, F.size(toks) + 1 - n)))
-    return F.transform(F.filter(starts, lambda o: (o >= 0) & (o <= F.size(toks) - 1)), lambda o: F.struct((base + o).alias("off"), F.slice(full, o + 1, F.lit(n)).alias("q")))
-
-
 def grams(sents: DataFrame, ns: list[int], max_len: int = MAX_LEN) -> DataFrame:
-    """``sid, off, q``: all windows of the given lengths; the last of a sentence may end in the end of sentence."""
-    rows = chunks(sents, max_len).where(F.size("toks") > 0)
-    each = F.concat(*[F.coalesce(_grams(F.col("toks"), F.col("base"), n), F.array().cast("array<struct<off:int,q:array<int>>>")) for n in ns])
-    return rows.select("sid", F.explode(each).alias("g")).select("sid", "g.off", "g.q")
+    """``sid, off, q``: all windows of the given lengths; the last of a sentence may end in the end of sentence.
+
+    One generated row per token with the longest window; slices of it are plain expressions, so the whole stays in
+    generated code.
+    """
+    longest = max(ns)
+    rows = chunks(sents, max_len).select("sid", "base", with_eos(F.col("toks")).alias("full"), F.posexplode("toks").alias("o", "first"))
+    head = rows.select("sid", (F.col("base") + F.col("o")).alias("off"), F.expr(f"slice(full, o + 1, {longest})").alias("head"))
+    if ns == [longest]:
+        return head.where(F.size("head") == longest).select("sid", "off", F.col("head").alias("q"))
+    each = F.array(*[F.when(F.size("head") >= n, F.slice("head", 1, n)) for n in ns])
+    return head.select("sid", "off", F.explode(each).alias("q")).where("q is not null")
 
 
 def matches(sents: DataFrame, phrases: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ from phraseloom.session import materialize
 
 #: Sentences of one block of the insertion order; a node's first members are found block by block.
 BLOCK = 4096
+#: Tokens of each suffix that the first rounds read.
+HEAD = 8
 
 
 def _first_members(members: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -39,21 +41,31 @@ def _first_members(members: DataFrame, nodes: DataFrame) -> DataFrame:
 def trie_nodes(pos: DataFrame, max_leaf: int = MAX_LEAF, max_depth: int | None = None, preloaded: int = 0) -> DataFrame:
     """``path, depth, n, is_leaf`` of every node; ``pos`` has ``sid, off, suf``, and (sid, off) is the insertion order.
 
-    One round per depth, until no node is internal.  ``preloaded`` is the number of positions the root began with.
+    One round per depth, until no node is internal.  The rounds read the first tokens of each suffix, written once, and
+    twice as many only if the trie goes deeper.  ``preloaded`` is the number of positions the root began with.
     """
     spark = pos.sparkSession
-    full = pos.select("sid", "off", F.floor(F.col("sid") / BLOCK).alias("blk"), with_eos(F.col("suf")).alias("full"))
-    total = full.count()
+    full = with_eos(F.col("suf"))
+
+    def heads(width: int) -> DataFrame:
+        return materialize(pos.select("sid", "off", F.floor(F.col("sid") / BLOCK).alias("blk"), F.slice(full, 1, width).alias("head")))
+
+    width = HEAD
+    held = heads(width)
+    total = held.count()
     s = max(max_leaf + 1, preloaded + 1 if preloaded else 0)
     schema = "path array<int>, depth int, n bigint, is_leaf boolean, s bigint"
     level = spark.createDataFrame([([], 0, total, total < s, s)], schema)
     out, depth, internal = level, 0, total >= s
     while internal and (max_depth is None or depth < max_depth):
+        if depth == width:
+            width *= 2
+            held = heads(width)
         nodes = level.where("not is_leaf").select("path", "s")
-        head = F.slice("full", F.lit(1), F.lit(depth)) if depth else F.array().cast("array<int>")
-        members = full.withColumn("path", head).join(nodes.select("path"), "path").withColumn("v", F.get("full", F.lit(depth)))
+        path = F.slice("head", F.lit(1), F.lit(depth)) if depth else F.array().cast("array<int>")
+        members = held.select("blk", "sid", "off", path.alias("path"), F.get("head", F.lit(depth)).alias("v")).join(nodes.select("path"), "path")
         counts = members.groupBy("path", "v").agg(F.count(F.lit(1)).alias("n"))
-        early = _first_members(members.select("path", "blk", "sid", "off", "v"), nodes).groupBy("path", "v").agg(F.count(F.lit(1)).alias("c"))
+        early = _first_members(members, nodes).groupBy("path", "v").agg(F.count(F.lit(1)).alias("c"))
         child = counts.join(early, ["path", "v"], "left").withColumn("s", F.greatest(F.lit(max_leaf + 1).cast("bigint"), F.coalesce("c", F.lit(0).cast("bigint")) + 1))
         leaf = (F.col("v") == EOS_VID) | (F.col("n") < F.col("s"))
         depth += 1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phraseloom.operators.ordered import ranked
@@ -14,9 +14,21 @@ def empty_vocab(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(EOS_VID, EOS, False)], VOCAB)
 
 
+def _place(words: DataFrame, order: list[str]) -> Column:
+    """The order's columns as one sortable value.
+
+    A wide decimal can be updated in a hash aggregate's buffer; a struct would make Spark sort every word first.
+    """
+    kinds = [words.schema[c].dataType.typeName() for c in order]
+    if kinds == ["long", "integer", "integer"]:
+        low = F.shiftleft(F.col(order[1]).cast("bigint"), 31) + F.col(order[2])
+        return (F.col(order[0]).cast("decimal(19,0)") * F.lit(1 << 62).cast("decimal(19,0)")).cast("decimal(38,0)") + low.cast("decimal(19,0)")
+    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
+
+
 def first_places(words: DataFrame, order: list[str]) -> DataFrame:
     """``word, place`` of each distinct word at its first place; the aggregate combines before its shuffle."""
-    return words.where("word is not null").groupBy("word").agg(F.min(F.struct(*order)).alias("place"))
+    return words.where("word is not null").groupBy("word").agg(F.min(_place(words, order)).alias("place"))
 
 
 def build_vocab(words: DataFrame, order: list[str]) -> DataFrame:
