@@ -23,12 +23,14 @@ def draw(a: Column, b: Column, n: Column) -> Column:
 def sample_occurrences(sa: DataFrame, phrases: DataFrame, most: int = 1000) -> DataFrame:
     """``phrase_id, i, sid, off``: min(most, occurrences) draws with replacement per phrase.
 
-    Only the ranks drawn meet the index; nothing is made per occurrence.
+    Only the ranks drawn meet the index; nothing is made per occurrence.  The join is hinted: Spark's estimate doesn't
+    see that a phrase becomes a thousand draws and might broadcast them.  Ranks are unique, so the index side's
+    partitions are even whatever is drawn.
     """
     spans = ranges(sa, phrases).withColumn("n", F.col("end") - F.col("begin"))
     draws = spans.select("phrase_id", "begin", "n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.lit(most), F.col("n")))).alias("i"))
     at = draws.select("phrase_id", "i", (F.col("begin") + draw(F.col("phrase_id"), F.col("i"), F.col("n"))).alias("rank"))
-    return at.join(sa.select("rank", "sid", "off"), "rank").select("phrase_id", "i", "sid", "off")
+    return at.join(sa.select("rank", "sid", "off").hint("shuffle_hash"), "rank").select("phrase_id", "i", "sid", "off")
 
 
 def random_phrases(sa: DataFrame, n: int, max_phrase: int = MAX_PHRASE) -> DataFrame:

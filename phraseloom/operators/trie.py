@@ -22,20 +22,19 @@ BLOCK = 4096
 HEAD = 8
 
 
-def _first_members(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Members of each node among its first ``s`` in insertion order (sid, off).
+def _early(members: DataFrame, cube: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``id, v, c``: how many of each node's first ``s`` members, in insertion order (sid, off), go on with ``v``.
 
-    Blocks are counted first; only the block in which the ``s``-th member lies is numbered row by row.
+    Whole blocks of the order are taken from the counts in ``cube``; only the rows of the one block in which a node's
+    ``s``-th member lies are numbered.
     """
-    sizes = members.groupBy("path", "blk").agg(F.count(F.lit(1)).alias("m"))
-    before = Window.partitionBy("path").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-    edge = sizes.withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0).cast("bigint"))).join(nodes.select("path", "s"), "path")
-    blocks = edge.where(F.col("before") < F.col("s")).select("path", "blk", (F.col("s") - F.col("before")).alias("room"), "m")
-    taken = members.join(blocks, ["path", "blk"])
-    whole = taken.where(F.col("m") <= F.col("room"))
-    place = F.row_number().over(Window.partitionBy("path", "blk").orderBy("sid", "off"))
-    part = taken.where(F.col("m") > F.col("room")).withColumn("place", place).where(F.col("place") <= F.col("room")).drop("place")
-    return whole.unionByName(part)
+    before = Window.partitionBy("id").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = cube.groupBy("id", "blk").agg(F.sum("n").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0).cast("bigint")))
+    taken = blocks.join(nodes.select("id", "s"), "id").where(F.col("before") < F.col("s")).select("id", "blk", "m", (F.col("s") - F.col("before")).alias("room"))
+    whole = cube.join(taken.where("m <= room").select("id", "blk"), ["id", "blk"]).select("id", "v", "n")
+    place = F.row_number().over(Window.partitionBy("id", "blk").orderBy("sid", "off"))
+    edge = members.join(taken.where("m > room").select("id", "blk", "room"), ["id", "blk"]).withColumn("place", place).where("place <= room")
+    return whole.unionByName(edge.select("id", "v", F.lit(1).cast("bigint").alias("n"))).groupBy("id", "v").agg(F.sum("n").alias("c"))
 
 
 def trie_nodes(pos: DataFrame, max_leaf: int = MAX_LEAF, max_depth: int | None = None, preloaded: int = 0) -> DataFrame:
@@ -50,29 +49,32 @@ def trie_nodes(pos: DataFrame, max_leaf: int = MAX_LEAF, max_depth: int | None =
     def heads(width: int) -> DataFrame:
         return materialize(pos.select("sid", "off", F.floor(F.col("sid") / BLOCK).alias("blk"), F.slice(full, 1, width).alias("head")))
 
-    width = HEAD
-    held = heads(width)
+    width, depth = HEAD, 0
+    held = heads(width).withColumn("id", F.lit(0).cast("bigint"))
     total = held.count()
     s = max(max_leaf + 1, preloaded + 1 if preloaded else 0)
-    schema = "path array<int>, depth int, n bigint, is_leaf boolean, s bigint"
-    level = spark.createDataFrame([([], 0, total, total < s, s)], schema)
-    out, depth, internal = level, 0, total >= s
+    level = spark.createDataFrame([([], 0, total, total < s, s, 0)], "path array<int>, depth int, n bigint, is_leaf boolean, s bigint, id bigint")
+    out, internal = level.drop("id", "s"), total >= s
     while internal and (max_depth is None or depth < max_depth):
-        if depth == width:
-            width *= 2
-            held = heads(width)
-        nodes = level.where("not is_leaf").select("path", "s")
-        path = F.slice("head", F.lit(1), F.lit(depth)) if depth else F.array().cast("array<int>")
-        members = held.select("blk", "sid", "off", path.alias("path"), F.get("head", F.lit(depth)).alias("v")).join(nodes.select("path"), "path")
-        counts = members.groupBy("path", "v").agg(F.count(F.lit(1)).alias("n"))
-        early = _first_members(members, nodes).groupBy("path", "v").agg(F.count(F.lit(1)).alias("c"))
-        child = counts.join(early, ["path", "v"], "left").withColumn("s", F.greatest(F.lit(max_leaf + 1).cast("bigint"), F.coalesce("c", F.lit(0).cast("bigint")) + 1))
+        nodes = level.where("not is_leaf").select("id", "path", "s")
+        members = held.withColumn("v", F.get("head", F.lit(depth)))
+        cube = materialize(members.groupBy("id", "v", "blk").agg(F.count(F.lit(1)).alias("n")))
+        child = cube.groupBy("id", "v").agg(F.sum("n").alias("n")).join(_early(members, cube, nodes), ["id", "v"], "left").join(nodes.select("id", "path"), "id")
+        child = child.withColumn("s", F.greatest(F.lit(max_leaf + 1).cast("bigint"), F.coalesce("c", F.lit(0).cast("bigint")) + 1))
         leaf = (F.col("v") == EOS_VID) | (F.col("n") < F.col("s"))
         depth += 1
-        level = materialize(child.select(F.concat("path", F.array("v")).alias("path"), F.lit(depth).alias("depth"), "n", leaf.alias("is_leaf"), "s"))
-        out = out.unionByName(level)
-        internal = not level.where("not is_leaf").isEmpty()
-    return out.drop("s")
+        level = materialize(
+            child.select(F.concat("path", F.array("v")).alias("path"), F.lit(depth).alias("depth"), "n", leaf.alias("is_leaf"), "s", F.monotonically_increasing_id().alias("id"), F.col("id").alias("parent"), "v")
+        )
+        out = out.unionByName(level.drop("id", "s", "parent", "v"))
+        kids = level.where("not is_leaf").select(F.col("parent").alias("id"), "v", F.col("id").alias("child"))
+        internal = not kids.isEmpty()
+        if internal:
+            held = materialize(members.join(kids, ["id", "v"]).select("sid", "off", "blk", "head", F.col("child").alias("id")))
+            if depth == width:
+                width *= 2
+                held = held.drop("head").join(heads(width).select("sid", "off", "head"), ["sid", "off"])
+    return out
 
 
 def leaf_of(sa: DataFrame, nodes: DataFrame) -> DataFrame:
