@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from phraseloom.session import materialize
+
 #: Keys of one block are compressed together.  A block bounds what one task sorts: parents and references are distinct
 #: per key by then, so it holds at most twice this many rows, however skewed the references are.
 BLOCK = 1 << 16
@@ -15,14 +17,15 @@ def _block(key: str) -> Column:
     return F.floor(F.col(key) / F.lit(BLOCK))
 
 
-def key_runs(parents: DataFrame, group: list[str], key: str, state: str | None = None) -> DataFrame:
+def key_runs(parents: DataFrame, group: list[str], key: str, state: str | None = None, unique: bool = False) -> DataFrame:
     """Compress distinct integer ``key``s into contiguous runs: ``group.., blk, run_start, run_end[, state]``.
 
     Runs end at block borders and, with ``state``, where the state changes.  Null keys make no run; repeated keys count
-    once; no rows give no runs.
+    once (``unique``: there are none); no rows give no runs.
     """
     cols = [*group, key] + [state] * (state is not None)
-    keys = parents.where(F.col(key).isNotNull()).select(*cols).distinct().withColumn("blk", _block(key))
+    keys = parents.where(F.col(key).isNotNull()).select(*cols)
+    keys = (keys if unique else keys.distinct()).withColumn("blk", _block(key))
     by = Window.partitionBy(*group, "blk").orderBy(key)
     fresh = F.coalesce(F.lag(key).over(by) != F.col(key) - 1, F.lit(True))
     if state:
@@ -69,7 +72,7 @@ def sentence_parents(corpus: DataFrame) -> DataFrame:
 
 def referenced_state(keys: DataFrame, parents: DataFrame) -> DataFrame:
     """State of each distinct referenced (side, sid): ``found, deleted, arrived, n_tok``."""
-    runs = key_runs(parents, ["side"], "sid", "deleted")
+    runs = key_runs(parents, ["side"], "sid", "deleted", unique=True)
     at = asof_match(keys, runs, ["side"], "sid", ["first_ref"], "deleted")
     known = parents.select("side", "sid", "arrived", "n_tok")
     return at.select("side", "sid", "first_ref", "found", F.when(F.col("found"), F.col("deleted")).alias("deleted")).join(known, ["side", "sid"], "left")
@@ -93,9 +96,9 @@ def orphan_references(corpus: DataFrame, alignment: DataFrame, sampled_positions
     Hot keys: references are pre-aggregated per key before any shuffle, and suspect keys meet their samples in a join
     salted ``salts`` ways on both sides.  Nulls: a null ``sid`` refers to nothing; a referring record without a time is never
     'later' and has a null period; null links and null offsets refer to nothing.  Empty tables give no rows.  Extra
-    columns are ignored.
+    columns are ignored.  Parents and the state of the referenced keys are written once, as several branches read them.
     """
-    parents = sentence_parents(corpus.select("side", "sid", "ingested_at", "deleted_at", "toks"))
+    parents = materialize(sentence_parents(corpus.select("side", "sid", "ingested_at", "deleted_at", "toks")))
     aligned = (
         alignment.where("sid is not null")
         .groupBy("sid")
@@ -110,11 +113,15 @@ def orphan_references(corpus: DataFrame, alignment: DataFrame, sampled_positions
         .groupBy("side", "sid")
         .agg(F.min("at").alias("first_ref"))
     )
-    state = referenced_state(keys, parents)
+    state = materialize(referenced_state(keys, parents))
 
     period = F.date_format("at", "yyyy-MM").alias("period")
     tail = ["reason", period]
-    both = aligned.select("sid", "at", "links", F.explode(sides).alias("side")).join(state, ["side", "sid"]).withColumn("reason", _reason("at"))
+    # One row per sid with both sides' states: the alignments are grouped by sid already, so their links don't move again.
+    parts = [F.first(F.when(F.col("side") == s, F.struct("side", "found", "deleted", "arrived", "n_tok")), ignorenulls=True).alias(s) for s in ("src", "trg")]
+    wide = state.groupBy("sid").agg(*parts)
+    both = aligned.join(wide, "sid").select("sid", "at", "links", F.explode(F.array("src", "trg")).alias("s"))
+    both = both.select("sid", "at", "links", "s.*").withColumn("reason", _reason("at"))
     of_alignments = both.where("reason is not null").select(
         F.lit("alignment").alias("ref_table"), F.lit("sid").alias("ref_field"), F.col("sid").alias("ref_key"), F.lit(-1).cast("bigint").alias("elem"), "side", *tail
     )
