@@ -27,7 +27,7 @@ from phraseloom.session import materialize, shuffle_partitions
 
 SIMILARITY = 0.8
 LEAST = 12
-WIDE = 64
+WIDE = 512
 LEVELS = 5
 TILE = 2048
 
