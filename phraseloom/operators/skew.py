@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,4 +67,5 @@ def salted_aggregate(
 def hot_keys(df: DataFrame, key: str, share: float, salts: int = 64, salt_by: list[str] | None = None) -> DataFrame:
     """Keys with at least ``share`` of all rows (null keys count in the total): ``key, n_rows``."""
     heavy, total = heavy_keys(df, key, min(share, 0.005))
-    return salted_aggregate(df, key, salts=salts, heavy=heavy, salt_by=salt_by).where(F.col("n_rows") >= F.lit(share * total))
+    part = Fraction(share).limit_denominator(10_000)
+    return salted_aggregate(df, key, salts=salts, heavy=heavy, salt_by=salt_by).where(F.col("n_rows") * part.denominator >= part.numerator * total)
