@@ -97,9 +97,9 @@ def split_sequences(corpus: DataFrame, vocab: DataFrame, limit: int = LIMIT, ove
     ``start`` is the first token of the piece, ``new_from`` where it stops repeating the piece before; ``natural`` tells
     whether the piece ends at a mark, a paragraph token or the sequence's end.  Rows of one (side, sid) are one
     sequence: the oversized rows are filtered at the scan, before the one shuffle that removes repeats.  Null or short
-    ``toks`` give no pieces, null tokens are no marks.  Extra columns are ignored.
+    ``toks`` and null sides or sids give no pieces, null tokens are no marks.  Extra columns are ignored.
     """
-    long = corpus.where(F.size("toks") > limit).groupBy("side", "sid").agg(F.max("toks").alias("toks"))
+    long = corpus.where(F.col("side").isNotNull() & F.col("sid").isNotNull() & (F.size("toks") > limit)).groupBy("side", "sid").agg(F.max("toks").alias("toks"))
     out = T.StructType(
         [
             T.StructField("side", T.StringType()), T.StructField("sid", T.LongType()),

@@ -10,6 +10,7 @@ subtrees meet on their route and are merged there.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -271,5 +272,6 @@ def term_counts(df: DataFrame, term: str, record: str, place: str, rare_below: i
     routes = choose_routes(weights)
     total = rows.select("record").distinct().count()
     merged = trees.mapInArrow(lambda b: _route(b, routes, routed), _ROUTED).repartition(tasks, "route").mapInArrow(lambda b: _merged(b, numeric, final), out)
-    mark = F.when(F.col("n_records") < rare_below, F.lit("rare")).when(F.col("n_records") > common_share * total, F.lit("common"))
+    part = Fraction(common_share).limit_denominator(10_000)
+    mark = F.when(F.col("n_records") < rare_below, F.lit("rare")).when(F.col("n_records") * part.denominator > part.numerator * total, F.lit("common"))
     return merged.withColumn("mark", mark)
