@@ -9,7 +9,8 @@ from phraseloom.functions.columns import token_at, with_eos
 from phraseloom.operators.ordered import ranked
 from phraseloom.operators.vocab import Vocab, lookup, surfaces
 from phraseloom.schemas import MAX_LEN, SENTENCES
-from phraseloom.sources.text import reject_eos, word_rows
+from phraseloom.session import materialize
+from phraseloom.sources.text import read_text, reject_eos, tokens_of, word_rows
 
 
 def sentences(deliveries: DataFrame, side: str) -> DataFrame:
@@ -45,6 +46,16 @@ def from_text(docs: DataFrame, id_col: str, text_col: str) -> tuple[Vocab, DataF
     return vocab, ranked(coded, ["id", "line_no"], "sid").select("sid", "toks")
 
 
+def from_text_file(spark: SparkSession, path: str, nlines: int | None = None) -> tuple[Vocab, DataFrame]:
+    """Vocabulary and sentences of a text file, or of its first ``nlines`` lines; sentences keep the file's order."""
+    lines = read_text(spark, path, nlines).select(F.monotonically_increasing_id().alias("id"), F.col("line"))
+    lines = materialize(lines)  # the numbers hold for one reading only
+    words = lines.select("id", F.lit(0).alias("line_no"), F.posexplode(tokens_of(F.col("line"))).alias("tok_no", "word"))
+    words = reject_eos(words)
+    vocab = Vocab.build(words, ["id", "line_no", "tok_no"])
+    return vocab, ranked(encode(words, vocab.df, ["id"], "tok_no"), ["id"], "sid").select("sid", "toks")
+
+
 def append(sents: DataFrame, batch: DataFrame, order: list[str], vocab: DataFrame | None = None) -> DataFrame:
     """``sents`` and the rows of ``batch`` behind them, numbered on in the batch's order.
 

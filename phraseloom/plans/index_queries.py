@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +15,12 @@ from phraseloom.operators import sampling as S
 from phraseloom.operators import suffix as X
 from phraseloom.operators import trie as R
 from phraseloom.operators import vocab as V
-from phraseloom.operators.incremental import two_batches
+from phraseloom.operators.incremental import Store, two_batches
 from phraseloom.operators.index import TokenIndex
 from phraseloom.operators.ordered import running_total
+from phraseloom.session import shared_dir
 from phraseloom.sources.text import lines_of, word_rows
+from phraseloom.streaming import ingest
 
 SAMPLES, RANDOM_PHRASES, TOP, LEAF = 100, 1000, 20, 1000
 
@@ -244,6 +248,29 @@ def corpus_append(spark, sf_dir):
     return C.append(src, trg, ["k"]).select("sid", F.size("toks").cast("bigint").alias("n_tokens"))
 
 
+def _store(spark) -> Store:
+    return Store(spark, f"{shared_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}")
+
+
+def snapshot_phrase_count(spark, sf_dir):
+    """Counts from a store that took the sentences in two batches, with the second sent twice."""
+    store = _store(spark)
+    first, second = _halves(spark, sf_dir)
+    for batch_id, batch in ((0, first), (1, second), (1, second)):
+        store.append(batch.withColumnRenamed("sid", "k"), ["k"], batch_id)
+    store.compact()
+    return store.counts(_phrases(spark, sf_dir))
+
+
+def stream_phrase_count(spark, sf_dir):
+    """Counts after the corpus came in as a stream; repeated deliveries of a sid are dropped by the stream's state."""
+    store, path = _store(spark), f"{sf_dir}/corpus.parquet"
+    stream = ingest.table_stream(spark, path, spark.read.parquet(path).schema)
+    rows = stream.where("side = 'src' and toks is not null and sid is not null").select(F.col("sid").alias("k"), "toks").dropDuplicates(["k"])
+    ingest.ingest(rows, ingest.append_sentences(store, ["k"]), f"{store.root}-progress", once=True).awaitTermination()
+    return store.counts(_phrases(spark, sf_dir))
+
+
 def vid_child_path(spark, sf_dir):
     return _vocab(spark, sf_dir).select("vid").distinct().select("vid", child_path(F.col("vid")).alias("path"))
 
@@ -272,7 +299,7 @@ _ALL = (
     text_lines, vocab_build, vocab_lookup, vocab_reverse, vocab_extend, vocab_aliases, corpus_stats, corpus_append, sentence_fetch, sentence_surface, token_places,
     suffix_array, suffix_neighbors, random_access, phrase_count, phrase_narrow_trace, phrase_locate, phrase_range, phrase_eos, position_surface,
     position_add, position_compare, _ngrams(1), _ngrams(2), _ngrams(3), ngram_topk, next_token_dist, root_children, prefix_rollup, sample_positions, sample_totals,
-    query_generator, query_positions_valid, trie_shape, trie_dump, index_append, index_merge, static_vs_dynamic, vid_child_path, alignment_links, aligned_tokens,
+    query_generator, query_positions_valid, trie_shape, trie_dump, index_append, index_merge, static_vs_dynamic, snapshot_phrase_count, stream_phrase_count, vid_child_path, alignment_links, aligned_tokens,
     events_phrase_count,
 )
 QUERIES = {f.__name__: f for f in _ALL}
@@ -397,3 +424,5 @@ from l join s x on x.sid = l.sid and x.side = 'src' join s y on y.sid = l.sid an
 g as (select event_type, coalesce(lead(event_type) over (partition by user_id, k // 255 order by k), '</s>') as after from e)
 select event_type || ' ' || after as words, count(*) as n from g group by 1""",
 }
+for _name in ("snapshot_phrase_count", "stream_phrase_count"):
+    SQL[_name] = SQL["phrase_count"]

@@ -21,7 +21,13 @@ def text_stream(spark: SparkSession, path: str, files_per_trigger: int = 64) ->
 
 
 def table_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 64) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    """Rows of Parquet files as they arrive in a directory; the path of one file streams that file."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(target) and not files.getFileStatus(target).isDirectory():
+        return reader.option("pathGlobFilter", target.getName()).parquet(target.getParent().toString())
+    return reader.parquet(path)
 
 
 def append_lines(store: Store) -> Callable[[DataFrame, int], None]:

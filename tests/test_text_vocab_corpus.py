@@ -114,3 +114,11 @@ def test_column_helpers(spark):
     assert one(spark, "  x ", K.skip_spaces(F.col("text"))) == "x "
     assert one(spark, "", K.format_time(F.lit(1.5))) == "1.500000"
     assert K.benchmark_time(lambda: None, "nothing") >= 0 and K.usage()["rss_max_mb"] > 0
+
+
+def test_from_text_file(spark, tmp_path):
+    (tmp_path / "t.txt").write_text("the cat\n\nthe  dog\nlast")
+    vocab, sents = C.from_text_file(spark, str(tmp_path / "t.txt"))
+    assert {r.surface: r.vid for r in vocab.df.collect()} == {"</s>": 1, "the": 2, "cat": 3, "": 4, "dog": 5, "last": 6}
+    assert [r.toks for r in sents.orderBy("sid").collect()] == [[2, 3], [4], [2, 4, 5], [6]]
+    assert C.from_text_file(spark, str(tmp_path / "t.txt"), 2)[1].count() == 2
