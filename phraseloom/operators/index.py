@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from phraseloom.operators import phrases as P
 from phraseloom.operators.corpus import Corpus
 from phraseloom.operators.sampling import sample_occurrences
-from phraseloom.operators.suffix import PREFIX, differences, merge, positions, suffix_array, with_prefix
+from phraseloom.operators.suffix import LONG, PREFIX, differences, mean_suffix, merge, positions, suffix_array, suffix_array_in_rounds, with_prefix
 from phraseloom.operators.trie import dump_lines, trie_nodes
 from phraseloom.schemas import MAX_LEAF
 
@@ -29,7 +29,8 @@ class TokenIndex:
     @classmethod
     def build(cls, corpus: Corpus | DataFrame, max_leaf: int = MAX_LEAF) -> TokenIndex:
         sents = corpus.sents if isinstance(corpus, Corpus) else corpus
-        return cls(sents, with_prefix(suffix_array(positions(sents))), corpus if isinstance(corpus, Corpus) else None, max_leaf)
+        sa = suffix_array(positions(sents)) if mean_suffix(sents) < LONG else suffix_array_in_rounds(sents)
+        return cls(sents, with_prefix(sa), corpus if isinstance(corpus, Corpus) else None, max_leaf)
 
     @classmethod
     def load(cls, sents: DataFrame, array: DataFrame, max_leaf: int = MAX_LEAF) -> TokenIndex:

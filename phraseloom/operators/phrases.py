@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from phraseloom.functions.columns import with_eos
 from phraseloom.operators.corpus import chunks
-from phraseloom.operators.suffix import kth_within
 from phraseloom.schemas import EOS_VID, MAX_LEN
 from phraseloom.session import materialize
 
@@ -90,10 +89,15 @@ def _prefixes(sa: DataFrame, ns: list[int]) -> DataFrame:
 
 
 def locate(sa: DataFrame, phrases: DataFrame) -> DataFrame:
-    """``phrase_id, k, rank, sid, off``: occurrences in suffix order; prefixes of the index's suffixes meet the phrases."""
+    """``phrase_id, k, rank, sid, off``: occurrences in suffix order; prefixes of the index's suffixes meet the phrases.
+
+    A phrase's matches are contiguous in rank, so ``k`` is the distance from its first rank and no window is needed,
+    which a phrase with a tenth of all positions would overload.
+    """
     wanted = phrases.select("phrase_id", F.col("q").cast("array<int>").alias("q"))
     hits = _prefixes(sa, lengths(phrases)).join(wanted, "q").select("phrase_id", "rank", "sid", "off")
-    return kth_within(hits, "phrase_id").select("phrase_id", "k", "rank", "sid", "off")
+    first = hits.groupBy("phrase_id").agg(F.min("rank").alias("begin"))
+    return hits.join(first, "phrase_id").select("phrase_id", (F.col("rank") - F.col("begin")).alias("k"), "rank", "sid", "off")
 
 
 def ranges(sa: DataFrame, phrases: DataFrame) -> DataFrame:

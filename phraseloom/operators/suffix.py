@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phraseloom.functions.columns import with_eos
 from phraseloom.operators.corpus import chunks
 from phraseloom.operators.ordered import ranked
 from phraseloom.schemas import MAX_LEN
+from phraseloom.session import materialize
 
 #: Leading tokens that an index keeps as columns, for min/max pruning of its Parquet files.
 PREFIX = 8
+#: Mean suffix length from which an index is sorted in rounds.
+LONG = 48
 
 
 def positions(sents: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
@@ -32,6 +35,41 @@ def suffix_array(pos: DataFrame) -> DataFrame:
     return ranked(pos, ["suf", "sid", "off"]).select("rank", "sid", "off", "suf")
 
 
+def mean_suffix(sents: DataFrame, max_len: int = MAX_LEN) -> float:
+    """Mean number of tokens from a position to the end of its sentence or chunk."""
+    n = F.size("toks").cast("bigint")
+    total, held = chunks(sents, max_len).agg(F.sum(n * (n + 1) / 2), F.sum(n)).first()
+    return float(total or 0) / (held or 1)
+
+
+def suffix_array_in_rounds(sents: DataFrame, width: int = 16, max_len: int = MAX_LEN) -> DataFrame:
+    """``rank, sid, off, suf`` as by :func:`suffix_array`, for long sentences.
+
+    The first round sorts by ``width`` tokens only.  Positions that share them, and have more to come, keep their
+    group's first rank and are sorted among each other by the next tokens, twice as many each round, so a suffix is
+    shuffled only as far as it takes to tell it from the others.
+    """
+    clean = materialize(chunks(sents.where(~F.exists("toks", lambda t: t.isNull() | (t == 0))), max_len).where(F.size("toks") > 0))
+    keyed = clean.select("sid", "base", "toks", F.posexplode("toks").alias("o", "first"))
+    rows = keyed.select("sid", (F.col("base") + F.col("o")).alias("off"), "base", F.expr(f"slice(toks, o + 1, {width})").alias("key"), F.lit(0).cast("bigint").alias("g"))
+    done, seen = None, 0
+    while True:
+        # Places among the open positions; a group's places are contiguous, and so are the ranks it fills.
+        order = materialize(ranked(rows, ["g", "key", "sid", "off"], "i"))
+        starts = order.groupBy("g").agg(F.min("i").alias("g0"))
+        groups = order.groupBy("g", "key").agg(F.min("i").alias("i0"), F.count(F.lit(1)).alias("m")).join(starts, "g")
+        state = groups.select("g", "key", (F.col("g") + F.col("i0") - F.col("g0")).alias("next"), "i0", ((F.col("m") > 1) & (F.size("key") == width)).alias("open"))
+        placed = materialize(order.join(state, ["g", "key"]).select("sid", "off", "base", (F.col("next") + F.col("i") - F.col("i0")).alias("rank"), "next", "open"))
+        closed = placed.where("not open").select("rank", "sid", "off", "base")
+        done = closed if done is None else done.unionByName(closed)
+        left = placed.where("open").select("sid", "off", "base", F.col("next").alias("g"))
+        if left.isEmpty():
+            break
+        seen, width = seen + width, 2 * width
+        rows = left.join(clean, ["sid", "base"]).select("sid", "off", "base", F.expr(f"slice(toks, off - base + 1 + {seen}, {width})").alias("key"), "g")
+    return done.join(clean, ["sid", "base"]).select("rank", "sid", "off", F.expr("slice(toks, off - base + 1, size(toks))").alias("suf"))
+
+
 def with_prefix(sa: DataFrame, depth: int = PREFIX) -> DataFrame:
     """Adds ``v0 ..``: the tokens by depth, the end of sentence after the last, then null."""
     full = with_eos(F.col("suf"))
@@ -65,7 +103,3 @@ def differences(a: DataFrame, b: DataFrame) -> DataFrame:
     x, y = a.select(*cols), b.select(*cols)
     return x.exceptAll(y).withColumn("only_in", F.lit("first")).unionByName(y.exceptAll(x).withColumn("only_in", F.lit("second")))
 
-
-def kth_within(matches: DataFrame, key: str) -> DataFrame:
-    """Number the matches of each key in suffix order: ``k`` from 0."""
-    return matches.withColumn("k", (F.row_number().over(Window.partitionBy(key).orderBy("rank")) - 1).cast("bigint"))

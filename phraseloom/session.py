@@ -30,8 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
     ``spark.checkpoint.dir`` of the session wins, then a folder set by ``setCheckpointDir``.  Only a local master, where
     one machine is the cluster, gets a temporary folder of its own.
     """
-    conf = spark.sparkContext.getConf()
-    if folder := conf.get("spark.checkpoint.dir"):
+    if folder := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir"):
         return folder
     if folder := spark.sparkContext.getCheckpointDir():
         return folder

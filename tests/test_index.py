@@ -141,6 +141,18 @@ def test_narrow_trace_keeps_the_span_on_a_miss(spark):
     assert [tuple(r) for r in rows] == [(0, 1, 5, 1), (0, 2, 0, 1), (0, 3, 2, 2), (1, 1, 2, 1), (1, 2, 1, 2)]
 
 
+def test_order_in_rounds(spark):
+    rng = random.Random(11)
+    base = [rng.choice([2, 3]) for _ in range(40)]
+    sents = {s: base[rng.randrange(20) :] + [rng.choice([2, 3, 4]) for _ in range(rng.randrange(3))] for s in range(12)} | {50: [2] * 300, 51: [2] * 300, 52: [], 53: [2, 0], 54: [3]}
+    df = frame(spark, sents)
+    direct = X.suffix_array(X.positions(df))
+    rounds = X.suffix_array_in_rounds(df, 2)
+    assert [tuple(r) for r in rounds.orderBy("rank").collect()] == [tuple(r) for r in direct.orderBy("rank").collect()]
+    assert X.suffix_array_in_rounds(df.limit(0)).count() == 0
+    assert X.mean_suffix(frame(spark, {0: [2] * 5, 1: []})) == 3.0 and X.mean_suffix(df.limit(0)) == 0
+
+
 def test_end_anchored(spark):
     df = frame(spark, SENTS)
     got = P.phrase_counts(df, P.anchored(phrases(spark, [[5], [7], [4]])))
