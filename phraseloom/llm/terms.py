@@ -1,10 +1,11 @@
 """Occurrences and records of every distinct term, counted in burst tries that are merged across workers.
 
-Rows meet once in a shuffle by (record, term), which spreads both a term in a tenth of all rows and a record with a third
-of them.  Each task streams its rows in order, so repeated positions fall out, and counts into a burst trie: terms are
-bytes, a container of term tails bursts into a node when it grows, and what leaves the task is one compact subtree per
-container.  Prefixes that hold many terms over all workers become routes of their own, down to two bytes; matching
-subtrees meet on their route and are merged there.
+Each batch of rows becomes one row per record with its distinct terms and places, so the one shuffle moves a row per
+record, not per token; a record that holds a large share of all rows is cut into slices by a hash of the term, and since
+a (record, term) pair lies in one slice, counts add up.  Each task streams its records in order, so repeated positions
+fall out, and counts into a burst trie: terms are bytes, a container of term tails bursts into a node when it grows, and what
+leaves the task is one compact subtree per container.  Prefixes that hold many terms over all workers become routes of
+their own, down to two bytes; matching subtrees meet on their route and are merged there.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ from phraseloom.session import materialize, shuffle_partitions
 BURST = 1024
 #: Terms that a task's trie holds before its subtrees leave; bounds a worker's memory whatever the vocabulary.
 HELD = 300_000
+#: Records from this many rows on, if they are a large share too, are cut into slices by term.
+HEAVY_ROWS = 1_000_000
+SLICES = 64
 ROUTE_TERMS = 50_000
 MAX_ROUTES = 4096
 
@@ -153,44 +157,78 @@ _SUBTREE = T.StructType([T.StructField("prefix", T.BinaryType()), T.StructField(
 _ROUTED = T.StructType([T.StructField("route", T.IntegerType()), *_SUBTREE.fields])
 
 
-def _squeezed(schema: pa.Schema):
+def _codes(col: pa.Array) -> tuple[np.ndarray, list | None]:
+    """A column as integers: its own values, or codes of a dictionary that comes along."""
+    if pa.types.is_integer(col.type):
+        return col.cast(pa.int64()).to_numpy(zero_copy_only=False), None
+    coded = col.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+
+
+def _steps(*cols: np.ndarray) -> np.ndarray:
+    """Where any of the columns differs from the row before; true for the first row."""
+    out = np.zeros(len(cols[0]), bool)
+    out[:1] = True
+    for c in cols:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def _gathered(schema: pa.Schema):
+    """Rows of a batch -> one row per (record, slice) with its distinct terms and places."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield from pa.Table.from_batches([batch]).group_by(["term", "record", "place"]).aggregate([]).select(["term", "record", "place"]).cast(schema).to_batches()
+            if not batch.num_rows:
+                continue
+            cols = {c: batch.column(c) for c in ("record", "slice", "term", "place")}
+            record, part, term, place = (_codes(c)[0] for c in cols.values())
+            order = np.lexsort((place, term, part, record))
+            record, part, term, place = (x[order] for x in (record, part, term, place))
+            fresh = _steps(record, part, term, place)
+            order, record, part = order[fresh], record[fresh], part[fresh]
+            first = np.flatnonzero(_steps(record, part))
+            bounds = pa.array(np.append(first, len(order)).astype(np.int32))
+            rows, heads = pa.array(order), pa.array(order[first])
+            out = [cols["record"].take(heads), cols["slice"].take(heads), *[pa.ListArray.from_arrays(bounds, cols[c].take(rows)) for c in ("term", "place")]]
+            yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(out, schema)], schema=schema)
 
     return run
 
 
-def _changed(col: pa.Array, before) -> np.ndarray:
-    """Where a value differs from the one before it; ``before`` is None at the partition's start."""
-    if not len(col):
-        return np.zeros(0, bool)
-    inner = pc.not_equal(col[1:], col[:-1]).to_numpy(zero_copy_only=False)
-    return np.concatenate([[before is None or col[0].as_py() != before], inner])
-
-
 def _counted(batches: Iterator[pa.RecordBatch], numeric: bool, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
-    trie, last = BurstTrie(), (None, None, None)
+    """Rows in (record, slice) order -> subtrees.  The last group of a batch waits for the next, as it may go on there."""
+    trie, held = BurstTrie(), None
+
+    def count(batch: pa.RecordBatch) -> None:
+        sizes = pc.list_value_length(batch.column("terms")).to_numpy(zero_copy_only=False)
+        group = np.repeat(np.cumsum(_steps(_codes(batch.column("record"))[0], _codes(batch.column("slice"))[0])), sizes)
+        term, words = _codes(batch.column("terms").flatten())
+        place = _codes(batch.column("places").flatten())[0]
+        order = np.lexsort((place, group, term))
+        term, group, place = term[order], group[order], place[order]
+        first = np.flatnonzero(_steps(term))
+        if len(first):
+            occ = np.add.reduceat(_steps(term, group, place).astype(np.int64), first).tolist()
+            rec = np.add.reduceat(_steps(term, group).astype(np.int64), first).tolist()
+            for t, o, r in zip(term[first].tolist(), occ, rec):
+                trie.add(int_key(t) if numeric else words[t].encode(), o, r)
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        term, record, place = batch.column("term"), batch.column("record"), batch.column("place")
-        new_term = _changed(term, last[0])
-        new_rec = new_term | _changed(record, last[1])
-        new_pos = new_rec | _changed(place, last[2])
-        last = tuple(c[-1].as_py() for c in (term, record, place))
-        new_term[0] = True
-        first = np.flatnonzero(new_term)
-        occ = np.add.reduceat(new_pos.astype(np.int64), first).tolist()
-        rec = np.add.reduceat(new_rec.astype(np.int64), first).tolist()
-        terms = term.take(pa.array(first)).to_pylist()
-        for t, o, r in zip(terms, occ, rec):
-            if o:
-                trie.add(int_key(t) if numeric else t.encode(), o, r)
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        new = _steps(_codes(batch.column("record"))[0], _codes(batch.column("slice"))[0])
+        cut = int(np.flatnonzero(new)[-1])
+        held = batch.slice(cut)
+        if cut:
+            count(batch.slice(0, cut))
         if trie.size >= HELD:
             yield from _sent(trie, arrow)
             trie = BurstTrie()
+    if held is not None:
+        count(held)
     yield from _sent(trie, arrow)
 
 
@@ -258,19 +296,24 @@ def term_counts(df: DataFrame, term: str, record: str, place: str, rare_below: i
     kind = df.schema[term].dataType
     numeric = not isinstance(kind, T.StringType)
     tasks = shuffle_partitions(spark)
-    rows = df.select(df[term].cast("bigint" if numeric else "string").alias("term"), df[record].alias("record"), df[place].alias("place")).dropna()
+    rows = df.select(df[term].alias("term"), df[record].alias("record"), df[place].alias("place")).dropna()
     sub, routed = to_arrow_schema(_SUBTREE), to_arrow_schema(_ROUTED)
     out = T.StructType([T.StructField(term, T.LongType() if numeric else T.StringType()), T.StructField("n_occ", T.LongType()), T.StructField("n_records", T.LongType())])
     final = to_arrow_schema(out)
 
-    squeezed = rows.mapInArrow(_squeezed(to_arrow_schema(rows.schema)), rows.schema)
-    ordered = squeezed.repartition(tasks, "record", "term").sortWithinPartitions("term", "record", "place")
+    per = materialize(rows.groupBy("record").count())
+    n_rows, total = per.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
+    # Fewer than 4 * tasks records can hold that share of the rows.
+    heavy = [r.record for r in per.where(F.col("count") > max(HEAVY_ROWS, n_rows / (4 * tasks))).select("record").collect()]
+    part = F.when(F.col("record").isin(heavy), F.pmod(F.xxhash64("term"), F.lit(SLICES)).cast("int")).otherwise(F.lit(0)) if heavy else F.lit(0)
+    gathered = T.StructType([T.StructField("record", rows.schema["record"].dataType), T.StructField("slice", T.IntegerType()), T.StructField("terms", T.ArrayType(rows.schema["term"].dataType)), T.StructField("places", T.ArrayType(rows.schema["place"].dataType))])
+    packed = rows.withColumn("slice", part).mapInArrow(_gathered(to_arrow_schema(gathered)), gathered)
+    ordered = packed.repartition(tasks, "record", "slice").sortWithinPartitions("record", "slice")
     trees = materialize(ordered.mapInArrow(lambda b: _counted(b, numeric, sub), _SUBTREE))
     heads = trees.select(F.explode(F.transform("tails", lambda t: F.substring(F.concat(F.col("prefix"), t), 1, 2))).alias("head"))
     # At most 65,793 heads of up to two bytes exist.
     weights = {bytes(r.head): r["count"] for r in heads.groupBy("head").count().collect()}
     routes = choose_routes(weights)
-    total = rows.select("record").distinct().count()
     merged = trees.mapInArrow(lambda b: _route(b, routes, routed), _ROUTED).repartition(tasks, "route").mapInArrow(lambda b: _merged(b, numeric, final), out)
     part = Fraction(common_share).limit_denominator(10_000)
     mark = F.when(F.col("n_records") < rare_below, F.lit("rare")).when(F.col("n_records") * part.denominator > part.numerator * total, F.lit("common"))

@@ -105,8 +105,9 @@ def test_routes_split_where_terms_are_many():
     assert set(terms.choose_routes({b"a": 5})) == {b""} and terms.choose_routes({}) == {b"": 0}
 
 
-@pytest.mark.parametrize("text", [False, True])
-def test_term_counts(spark, monkeypatch, text):
+@pytest.mark.parametrize("text, heavy", [(False, 10**6), (True, 10**6), (True, 5), (False, 5)])
+def test_term_counts(spark, monkeypatch, text, heavy):
+    monkeypatch.setattr(terms, "HEAVY_ROWS", heavy)
     rng = random.Random(3)
     rows = [(rng.randrange(12), rng.randrange(30), rng.choice([0, 1, 1, 1, 2, 300, 70000, None])) for _ in range(400)]
     rows += rows[:50] + [(None, 1, 5), (1, None, 5)] + [(7, 0, 1)] * 200
