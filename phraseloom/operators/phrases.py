@@ -81,11 +81,13 @@ def narrow_trace(sents: DataFrame, phrases: DataFrame) -> DataFrame:
     return out if out is not None else base.select("phrase_id", F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("span_depth")).limit(0)
 
 
-def _prefixes(sa: DataFrame, ns: list[int]) -> DataFrame:
+def prefixes(sa: DataFrame, ns: list[int], name: str = "q") -> DataFrame:
     """``rank, sid, off, q``: the prefixes of the given lengths of each indexed suffix with its end, where it is that long."""
-    full = with_eos(F.col("suf"))
-    each = F.array(*[F.when(F.size(full) >= n, F.slice(full, 1, n)) for n in ns]) if ns else F.array().cast("array<array<int>>")
-    return sa.select("rank", "sid", "off", F.explode(F.filter(each, lambda q: q.isNotNull())).alias("q"))
+    if not ns:
+        return sa.select("rank", "sid", "off", F.array().cast("array<int>").alias(name)).limit(0)
+    head = sa.select("rank", "sid", "off", F.slice(with_eos(F.col("suf")), 1, max(max(ns), 1)).alias("head"))
+    each = F.array(*[F.when(F.size("head") >= n, F.slice("head", 1, n)) for n in ns])
+    return head.select("rank", "sid", "off", F.explode(each).alias(name)).where(F.col(name).isNotNull())
 
 
 def locate(sa: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -94,16 +96,15 @@ def locate(sa: DataFrame, phrases: DataFrame) -> DataFrame:
     A phrase's matches are contiguous in rank, so ``k`` is the distance from its first rank and no window is needed,
     which a phrase with a tenth of all positions would overload.
     """
-    wanted = phrases.select("phrase_id", F.col("q").cast("array<int>").alias("q"))
-    hits = _prefixes(sa, lengths(phrases)).join(wanted, "q").select("phrase_id", "rank", "sid", "off")
-    first = hits.groupBy("phrase_id").agg(F.min("rank").alias("begin"))
-    return hits.join(first, "phrase_id").select("phrase_id", (F.col("rank") - F.col("begin")).alias("k"), "rank", "sid", "off")
+    first = ranges(sa, phrases).join(phrases.select("phrase_id", F.col("q").cast("array<int>").alias("q")), "phrase_id").select("phrase_id", "q", "begin")
+    hits = prefixes(sa, lengths(phrases)).join(first, "q")
+    return hits.select("phrase_id", (F.col("rank") - F.col("begin")).alias("k"), "rank", "sid", "off")
 
 
 def ranges(sa: DataFrame, phrases: DataFrame) -> DataFrame:
     """``phrase_id, begin, end``: the half-open rank range of each phrase that occurs; matches are contiguous."""
     wanted = phrases.select("phrase_id", F.col("q").cast("array<int>").alias("q"))
-    found = _prefixes(sa, lengths(phrases)).select("rank", "q").join(wanted.select("q").distinct(), "q")
+    found = prefixes(sa, lengths(phrases)).select("rank", "q").join(wanted.select("q").distinct(), "q")
     bounds = found.groupBy("q").agg(F.min("rank").alias("begin"), (F.max("rank") + 1).alias("end"))
     return wanted.join(bounds, "q").select("phrase_id", "begin", "end")
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from phraseloom.functions.columns import with_eos
 from phraseloom.operators.ordered import ranked
+from phraseloom.operators.phrases import prefixes
 from phraseloom.schemas import EOS_VID, MAX_LEAF
 from phraseloom.session import materialize
 
@@ -80,12 +81,8 @@ def trie_nodes(pos: DataFrame, max_leaf: int = MAX_LEAF, max_depth: int | None =
 def leaf_of(sa: DataFrame, nodes: DataFrame) -> DataFrame:
     """``rank, sid, off, path`` with the leaf that holds each position."""
     leaves = nodes.where("is_leaf").select("path", "depth")
-    depths = [r[0] for r in leaves.select("depth").distinct().collect()]
-    full = with_eos(F.col("suf"))
-    heads = F.explode(F.array(*[F.slice(full, 1, d) if d else F.array().cast("array<int>") for d in sorted(depths)]))
-    # A suffix shorter than d repeats its whole self there; it is told apart by the size of the path.
-    rows = sa.select("rank", "sid", "off", "suf", heads.alias("path")).distinct()
-    return rows.join(leaves.select("path"), "path").select("rank", "sid", "off", "path")
+    depths = sorted(r[0] for r in leaves.select("depth").distinct().collect())
+    return prefixes(sa, depths, "path").join(leaves.select("path"), "path").select("rank", "sid", "off", "path")
 
 
 def dump_lines(sa: DataFrame, nodes: DataFrame, surfaces: DataFrame) -> DataFrame:
