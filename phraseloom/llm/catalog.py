@@ -12,6 +12,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# The version marks of segment files.
 MAGICS = ["SaptIDX2", "SaptIDX3"]
 
 
