@@ -87,6 +87,7 @@ def leaf_of(sa: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def dump_lines(sa: DataFrame, nodes: DataFrame, surfaces: DataFrame) -> DataFrame:
     """``line_no, line``: the trie as indented text, children by id, leaves in array order."""
+    # The words, marks and the indent of two spaces a level are the dump's format.
     deep = F.size("path") * 2
     pad = F.repeat(F.lit(" "), deep)
     title = F.concat(pad, F.lit("TreeNode size="), F.col("n").cast("string"), F.lit(" is_leaf="), F.col("is_leaf").cast("string"))
