@@ -63,7 +63,7 @@ def p3_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = _src(spark, sf_dir)
-    return spans.passages(spans.matched_chains(src, "sid", "toks"), src, "sid", "toks")
+    return spans.passages(spans.pair_chains(src, "sid", "toks"), src, "sid", "toks")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,9 @@
 1. Minimiser seeds: of every ``length`` consecutive tokens, the least hash of a ``k``-mer is a seed, so two sequences
    that share such a stretch share a seed.  Seeds that stand in one sequence only are dropped by a map-side combined
    aggregate.
-2. The windows around the remaining seeds are hashed whole.  Each hash keeps its least and its greatest occurrence; a
-   window is joined to one of them, never to all others, so a stretch in a third of all sequences costs one row a copy.
+2. The windows around the remaining seeds are hashed whole.  For the shared positions each hash keeps its least and its
+   greatest occurrence; a window is joined to one of them, never to all others, so a stretch in a third of all sequences
+   costs one row a copy.  For the passages equal texts become one class and all classes with a window meet, in tiles.
 3. The matches of two sequences are merged along diagonals and chained in order with gap costs through a Fenwick tree.
    The chains' segments are the exact spans; a chain as a whole is a fuzzy passage, which :func:`passages` aligns.
 """
@@ -26,6 +27,7 @@ from phraseloom.session import materialize, shuffle_partitions
 LENGTH = 25
 SEED = 13
 GAP_COST = 0.25
+TILE = 512
 
 _SEEDS = T.StructType([T.StructField("sid", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("h", T.LongType())])
 _WINDOWS = T.StructType([T.StructField(c, T.LongType()) for c in ("sid", "h", "h2")] + [T.StructField("off", T.IntegerType())])
@@ -192,6 +194,19 @@ def _chained(length: int, gap_cost: float):
     return run
 
 
+def _seeded_windows(rows: DataFrame, length: int, k: int) -> DataFrame:
+    """``sid, h, h2, off`` of the windows around seeds that stand in two sequences."""
+    seeds = rows.mapInArrow(_seeded(length, k), _SEEDS)
+    twice = seeds.groupBy("h").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("h")
+    places = seeds.join(twice, "h").groupBy("sid").agg(F.collect_set("pos").alias("places"))
+    return materialize(rows.join(places, "sid").select("sid", "toks", "places").mapInArrow(_windowed(length, k), _WINDOWS))
+
+
+def _in_chains(matches: DataFrame, length: int, gap_cost: float) -> DataFrame:
+    ordered = matches.repartition(shuffle_partitions(matches.sparkSession), "sid", "other").sortWithinPartitions("sid", "other", "off")
+    return ordered.mapInArrow(_chained(length, gap_cost), _CHAINED)
+
+
 def matched_chains(seqs: DataFrame, id_col: str, toks_col: str, length: int = LENGTH, k: int = SEED, gap_cost: float = GAP_COST) -> DataFrame:
     """Chained exact segments ``sid, other, chain, start, end, other_start, other_end`` between different sequences.
 
@@ -199,18 +214,54 @@ def matched_chains(seqs: DataFrame, id_col: str, toks_col: str, length: int = LE
     or short lists and windows with a null token match nothing; repeated rows of an id count once; ids that are null
     are left out.
     """
-    tasks = shuffle_partitions(seqs.sparkSession)
     rows = seqs.where(F.col(id_col).isNotNull() & (F.size(toks_col) >= length)).select(F.col(id_col).cast("bigint").alias("sid"), F.col(toks_col).cast("array<int>").alias("toks"))
-    seeds = rows.mapInArrow(_seeded(length, k), _SEEDS)
-    twice = seeds.groupBy("h").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("h")
-    places = seeds.join(twice, "h").groupBy("sid").agg(F.collect_set("pos").alias("places"))
-    windows = materialize(rows.join(places, "sid").select("sid", "toks", "places").mapInArrow(_windowed(length, k), _WINDOWS))
+    windows = _seeded_windows(rows, length, k)
     at = F.struct("sid", "off")
     shared = windows.groupBy("h", "h2").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).where("lo.sid <> hi.sid")
     other = F.when(F.col("sid") != F.col("lo.sid"), F.col("lo")).otherwise(F.col("hi"))
     matches = windows.join(shared, ["h", "h2"]).withColumn("o", other).select("sid", F.col("o.sid").alias("other"), "off", F.col("o.off").alias("other_off"))
-    ordered = matches.repartition(tasks, "sid", "other").sortWithinPartitions("sid", "other", "off")
-    return ordered.mapInArrow(_chained(length, gap_cost), _CHAINED)
+    return _in_chains(matches, length, gap_cost)
+
+
+def _copied(length: int, gap_cost: float):
+    arrow = to_arrow_schema(_CHAINED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, bounds = token_lists(batch.column("toks"))
+            out = []
+            for pair, a, b in zip(zip(batch.column("sid").to_pylist(), batch.column("other").to_pylist()), bounds, bounds[1:]):
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], (flat[a:b] >= 0).astype(np.int8), [0]]))).tolist()
+                whole = [(x, x, y - x) for x, y in zip(edges[::2], edges[1::2]) if y - x >= length]
+                out += [(*pair, c, x, x + n, y, y + n) for c, line in enumerate(chain(whole, gap_cost)) for x, y, n in line]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=arrow)
+
+    return run
+
+
+def pair_chains(seqs: DataFrame, id_col: str, toks_col: str, length: int = LENGTH, k: int = SEED, gap_cost: float = GAP_COST, tile: int = TILE) -> DataFrame:
+    """Chains like those of :func:`matched_chains`, but between every two different texts that share a window.
+
+    Equal texts are one class, named by its least id.  Classes meet in pairs, ``other`` the lesser; a further copy meets
+    only its class, along the diagonal, so n copies cost n - 1 rows and say who belongs to the class.  A window in very
+    many texts is joined in tiles of about ``tile`` by ``tile`` occurrences: no task has all of its pairs.  Two texts that
+    repeat a window m and n times have m * n matches.
+    """
+    tokens = F.max(F.col(toks_col).cast("array<int>")).alias("toks")
+    rows = seqs.where(F.col(id_col).isNotNull() & F.col(toks_col).isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("sid")).agg(tokens).where(F.size("toks") >= length)
+    rows = materialize(rows)
+    members = materialize(rows.join(rows.groupBy("toks").agg(F.min("sid").alias("other")), "toks").select("sid", "other", "toks"))
+    windows = _seeded_windows(members.where("sid = other").select("sid", "toks"), length, k)
+    shared = windows.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi")
+    shared = shared.select("h", "h2", F.ceil(F.col("n") / tile).alias("tiles"))
+    held = materialize(windows.join(shared, ["h", "h2"]).withColumn("tile", F.pmod(F.xxhash64("sid", "off"), "tiles")))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1))
+    left = held.select("h", "h2", "sid", "off", F.col("tile").alias("row"), every.alias("col"))
+    right = held.select("h", "h2", F.col("sid").alias("other"), F.col("off").alias("other_off"), every.alias("row"), F.col("tile").alias("col"))
+    matches = left.join(right, ["h", "h2", "row", "col"]).where("sid > other").select("sid", "other", "off", "other_off")
+    copies = members.where("sid <> other").mapInArrow(_copied(length, gap_cost), _CHAINED)
+    return _in_chains(matches, length, gap_cost).unionByName(copies)
 
 
 def shared_runs(chains: DataFrame) -> DataFrame:
@@ -243,7 +294,7 @@ def edit_distance(a: list, b: list) -> int:
     return int(row[-1])
 
 
-_PASSAGES = T.StructType([T.StructField(c, T.LongType()) for c in ("sid", "other", "start", "end", "other_start", "other_end", "n_exact", "n_edits")])
+_PASSAGES = T.StructType([T.StructField(c, T.LongType()) for c in ("sid", "other", "start", "end", "other_start", "other_end", "n_exact", "n_edits")] + [T.StructField("copy", T.BooleanType())])
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,14 +305,15 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             r = {c: v[0] for c, v in batch.slice(k, 1).to_pydict().items()}
             line = sorted((s["start"], s["end"], s["other_start"], s["other_end"]) for s in r["line"])
             edits = sum(edit_distance(r["toks"][e:s], r["other_toks"][oe:os]) for (_, e, _, oe), (s, _, os, _) in zip(line, line[1:]))
-            out.append((r["sid"], r["other"], line[0][0], line[-1][1], line[0][2], line[-1][3], sum(e - s for s, e, _, _ in line), edits))
+            out.append((r["sid"], r["other"], line[0][0], line[-1][1], line[0][2], line[-1][3], sum(e - s for s, e, _, _ in line), edits, r["toks"] == r["other_toks"]))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 
 
 def passages(chains: DataFrame, seqs: DataFrame, id_col: str, toks_col: str) -> DataFrame:
     """Fuzzy passages: each chain with the tokens it matches exactly and the edits that align its gaps.
 
+    ``copy`` marks two equal texts; of :func:`pair_chains`, these rows are the members of the class ``other``.
     The rows of a sequence that many others match are spread by AQE's skew join; the lists are joined once per chain.
     """
     key = ["sid", "other", "chain"]

@@ -170,6 +170,47 @@ def test_shared_runs(spark):
     assert spans.matched_chains(df.limit(0), "s", "toks").count() == 0
 
 
+def brute_passages(seqs, length, k, gap_cost):
+    """Chains of all pairs of different texts, and of each further copy with the first of its class."""
+    first, out = {}, set()
+    for s in sorted(seqs):
+        first.setdefault(tuple(seqs[s]), s)
+    for a, t in seqs.items():
+        for b, u in seqs.items():
+            if a <= b or first[tuple(u)] != b or (first[tuple(t)] != a and first[tuple(t)] != b):
+                continue
+            copy = t == u
+            hits = [(x, y) for x in range(len(t) - k + 1) for y in range(len(u) - k + 1) if t[x : x + k] == u[y : y + k] and None not in t[x : x + k] and (not copy or x == y)]
+            for line in spans.chain(spans.diagonals(hits, k), gap_cost):
+                gaps = [(t[x + n : x2], u[y + n : y2]) for (x, y, n), (x2, y2, _) in zip(line, line[1:])]
+                (x, y, _), (x2, y2, n), exact = line[0], line[-1], sum(n for *_, n in line)
+                if exact >= length:
+                    out.add((a, b, x, x2 + n, y, y2 + n, exact, sum(spans.edit_distance(*g) for g in gaps), copy))
+    return out
+
+
+@pytest.mark.parametrize("tile", [512, 2])
+def test_passages_of_all_pairs(spark, tile):
+    rng = random.Random(8)
+    half = [[rng.randrange(2, 400) for _ in range(12)] for _ in range(2)]
+    # 10 and 11 share both halves with an edit between them; 1 and 2 hold one half each.
+    seqs = {1: [500, *half[0]], 2: [*half[1], 501], 10: [*half[0], 502, *half[1], 503], 11: [504, *half[0], 505, *half[1]]}
+    base = [rng.randrange(2, 40) for _ in range(60)]
+    for s in range(20, 36):
+        t = list(base[rng.randrange(20) : rng.randrange(30, 60)])
+        for _ in range(rng.randrange(4)):
+            t[rng.randrange(len(t))] = rng.choice([None, 3, 99])
+        seqs[s] = t
+    seqs |= {40: seqs[10], 41: seqs[10], 42: seqs[20], 43: [5] * 14, 44: [5] * 11, 45: [], 46: half[0][:7], 47: half[0][:7]}
+    rows = [(s, t, 1) for s, t in seqs.items()] + [(20, seqs[20], 1), (None, seqs[20], 1), (50, None, 1)]
+    df = spark.createDataFrame(rows, "s bigint, toks array<int>, tile int")
+    got = [tuple(r) for r in spans.passages(spans.pair_chains(df, "s", "toks", length=8, k=4, tile=tile), df, "s", "toks").collect()]
+    assert set(got) == brute_passages(seqs, 8, 8, spans.GAP_COST) and len(got) == len(set(got))
+    assert {r for r in got if r[:2] == (11, 10)} == {(11, 10, 1, 26, 0, 25, 24, 1, False)}
+    assert {r[:2] for r in got if r[-1]} >= {(40, 10), (41, 10), (42, 20)} and not {r[0] for r in got if not r[-1]} & {40, 41, 42}
+    assert spans.pair_chains(df.limit(0), "s", "toks").count() == 0
+
+
 def test_chaining():
     a, b, c = (0, 100, 10), (15, 112, 10), (30, 5, 10)
     assert spans.chain([a, b, c], 0.25) == [[a, b], [c]]
