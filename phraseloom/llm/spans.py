@@ -5,7 +5,8 @@
    aggregate.
 2. The windows around the remaining seeds are hashed whole.  For the shared positions each hash keeps its least and its
    greatest occurrence; a window is joined to one of them, never to all others, so a stretch in a third of all sequences
-   costs one row a copy.  For the passages equal texts become one class and all classes with a window meet, in tiles.
+   costs one row a copy.  For the passages equal texts become one class and all classes with a ``k``-mer meet, in tiles:
+   there every ``k``-mer is a match, as a passage may have edits closer to each other than ``length``.
 3. The matches of two sequences are merged along diagonals and chained in order with gap costs through a Fenwick tree.
    The chains' segments are the exact spans; a chain as a whole is a fuzzy passage, which :func:`passages` aligns.
 """
@@ -92,6 +93,24 @@ def _windowed(length: int, k: int):
     return run
 
 
+def _all_windows(k: int):
+    arrow = to_arrow_schema(_WINDOWS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, bounds = token_lists(batch.column("toks"))
+            if len(flat) < k:
+                continue
+            broken = np.cumsum(np.concatenate([[0], flat < 0]))
+            at = np.flatnonzero(inside(bounds, k) & (broken[k:] == broken[:-k]))
+            h, h2 = rolling(mixed(flat, 1), k)[at], rolling(mixed(flat, 2), k)[at]
+            of = np.searchsorted(bounds, at, "right") - 1
+            sid = batch.column("sid").to_numpy(zero_copy_only=False)[of]
+            yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(h.view(np.int64)), pa.array(h2.view(np.int64)), pa.array((at - bounds[of]).astype(np.int32))], schema=arrow)
+
+    return run
+
+
 class Fenwick:
     """Prefix maxima: the best (value, item) at or below a rank."""
 
@@ -162,13 +181,19 @@ def chain(segments: list[tuple[int, int, int]], gap_cost: float = GAP_COST) -> l
     return chains
 
 
-def _chained(length: int, gap_cost: float):
+def _held(line: list[tuple[int, int, int]]) -> int:
+    """Tokens that a chain matches exactly."""
+    return sum(n for _, _, n in line)
+
+
+def _chained(length: int, gap_cost: float, least: int):
     arrow = to_arrow_schema(_CHAINED)
 
     def rows(pair: tuple[int, int], matches: list[tuple[int, int]]) -> list[tuple]:
         out = []
         for c, line in enumerate(chain(diagonals(matches, length), gap_cost)):
-            out += [(*pair, c, x, x + n, y, y + n) for x, y, n in line]
+            if _held(line) >= least:
+                out += [(*pair, c, x, x + n, y, y + n) for x, y, n in line]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,8 +213,8 @@ def _chained(length: int, gap_cost: float):
                 matches += zip(off[a:b].tolist(), at[a:b].tolist())
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*done)], schema=arrow)
-        if matches:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows(pair, matches))], schema=arrow)
+        if matches and (done := rows(pair, matches)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*done)], schema=arrow)
 
     return run
 
@@ -202,9 +227,9 @@ def _seeded_windows(rows: DataFrame, length: int, k: int) -> DataFrame:
     return materialize(rows.join(places, "sid").select("sid", "toks", "places").mapInArrow(_windowed(length, k), _WINDOWS))
 
 
-def _in_chains(matches: DataFrame, length: int, gap_cost: float) -> DataFrame:
+def _in_chains(matches: DataFrame, length: int, gap_cost: float, least: int = 0) -> DataFrame:
     ordered = matches.repartition(shuffle_partitions(matches.sparkSession), "sid", "other").sortWithinPartitions("sid", "other", "off")
-    return ordered.mapInArrow(_chained(length, gap_cost), _CHAINED)
+    return ordered.mapInArrow(_chained(length, gap_cost, least), _CHAINED)
 
 
 def matched_chains(seqs: DataFrame, id_col: str, toks_col: str, length: int = LENGTH, k: int = SEED, gap_cost: float = GAP_COST) -> DataFrame:
@@ -223,7 +248,7 @@ def matched_chains(seqs: DataFrame, id_col: str, toks_col: str, length: int = LE
     return _in_chains(matches, length, gap_cost)
 
 
-def _copied(length: int, gap_cost: float):
+def _copied(k: int, gap_cost: float, least: int):
     arrow = to_arrow_schema(_CHAINED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,8 +257,8 @@ def _copied(length: int, gap_cost: float):
             out = []
             for pair, a, b in zip(zip(batch.column("sid").to_pylist(), batch.column("other").to_pylist()), bounds, bounds[1:]):
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], (flat[a:b] >= 0).astype(np.int8), [0]]))).tolist()
-                whole = [(x, x, y - x) for x, y in zip(edges[::2], edges[1::2]) if y - x >= length]
-                out += [(*pair, c, x, x + n, y, y + n) for c, line in enumerate(chain(whole, gap_cost)) for x, y, n in line]
+                whole = [(x, x, y - x) for x, y in zip(edges[::2], edges[1::2]) if y - x >= k]
+                out += [(*pair, c, x, x + n, y, y + n) for c, line in enumerate(chain(whole, gap_cost)) if _held(line) >= least for x, y, n in line]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=arrow)
 
@@ -241,18 +266,19 @@ def _copied(length: int, gap_cost: float):
 
 
 def pair_chains(seqs: DataFrame, id_col: str, toks_col: str, length: int = LENGTH, k: int = SEED, gap_cost: float = GAP_COST, tile: int = TILE) -> DataFrame:
-    """Chains like those of :func:`matched_chains`, but between every two different texts that share a window.
+    """Chains of the shared ``k``-mers of every two different texts, where a chain matches at least ``length`` tokens.
 
+    The tokens need not stand together: edits may lie ``k`` + 1 tokens apart.  Columns as in :func:`matched_chains`.
     Equal texts are one class, named by its least id.  Classes meet in pairs, ``other`` the lesser; a further copy meets
-    only its class, along the diagonal, so n copies cost n - 1 rows and say who belongs to the class.  A window in very
+    only its class, along the diagonal, so n copies cost n - 1 rows and say who belongs to the class.  A ``k``-mer in very
     many texts is joined in tiles of about ``tile`` by ``tile`` occurrences: no task has all of its pairs.  Two texts that
-    repeat a window m and n times have m * n matches.
+    repeat one m and n times have m * n matches.
     """
     tokens = F.max(F.col(toks_col).cast("array<int>")).alias("toks")
     rows = seqs.where(F.col(id_col).isNotNull() & F.col(toks_col).isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("sid")).agg(tokens).where(F.size("toks") >= length)
     rows = materialize(rows)
     members = materialize(rows.join(rows.groupBy("toks").agg(F.min("sid").alias("other")), "toks").select("sid", "other", "toks"))
-    windows = _seeded_windows(members.where("sid = other").select("sid", "toks"), length, k)
+    windows = members.where("sid = other").select("sid", "toks").mapInArrow(_all_windows(k), _WINDOWS)
     shared = windows.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi")
     shared = shared.select("h", "h2", F.ceil(F.col("n") / tile).alias("tiles"))
     held = materialize(windows.join(shared, ["h", "h2"]).withColumn("tile", F.pmod(F.xxhash64("sid", "off"), "tiles")))
@@ -260,8 +286,8 @@ def pair_chains(seqs: DataFrame, id_col: str, toks_col: str, length: int = LENGT
     left = held.select("h", "h2", "sid", "off", F.col("tile").alias("row"), every.alias("col"))
     right = held.select("h", "h2", F.col("sid").alias("other"), F.col("off").alias("other_off"), every.alias("row"), F.col("tile").alias("col"))
     matches = left.join(right, ["h", "h2", "row", "col"]).where("sid > other").select("sid", "other", "off", "other_off")
-    copies = members.where("sid <> other").mapInArrow(_copied(length, gap_cost), _CHAINED)
-    return _in_chains(matches, length, gap_cost).unionByName(copies)
+    copies = members.where("sid <> other").mapInArrow(_copied(k, gap_cost, length), _CHAINED)
+    return _in_chains(matches, k, gap_cost, length).unionByName(copies)
 
 
 def shared_runs(chains: DataFrame) -> DataFrame:
