@@ -186,7 +186,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = WORDS, drop_share: float = 0.5) -> DataFrame:
-    """``id_col, n_words, n_leaked, action, text`` of every document that leaks.
+    """``id_col, n_words, n_leaked, action, text`` of every document that leaks; rows that repeat an id and text are one.
 
     ``action`` is 'drop' (null text) where leaked words are at least ``drop_share`` of the words, else 'cut': the text is the canonical
     form without the leaked spans.  Needs the items in one block; a larger set is refused, as spans of different blocks
@@ -197,7 +197,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     if next(blocks, None) is not None:
         raise ValueError("the items need more than one block; use leaked_items")
     kind = docs.schema[id_col].dataType
-    out = T.StructType([T.StructField("id", kind), T.StructField("n_words", T.LongType()), T.StructField("n_leaked", T.LongType()), T.StructField("action", T.StringType()), T.StructField("text", T.StringType())])
+    out = T.StructType([T.StructField("id", kind), T.StructField("mark", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_leaked", T.LongType()), T.StructField("action", T.StringType()), T.StructField("text", T.StringType())])
     arrow = to_arrow_schema(out)
     sent = docs.sparkSession.sparkContext.broadcast(ix)
 
@@ -211,12 +211,12 @@ def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
             np.add.at(hit, off + ix.n, -1)
             leaked = np.cumsum(hit)[:-1] > 0
             share = leaked.mean()
-            rows.append((own[d], sizes[d], int(leaked.sum()), "drop" if share >= drop_share else "cut", None if share >= drop_share else _cut(texts[d], leaked)))
+            rows.append((own[d]["id"], own[d]["mark"], sizes[d], int(leaked.sum()), "drop" if share >= drop_share else "cut", None if share >= drop_share else _cut(texts[d], leaked)))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("t"))
-    return rows.mapInArrow(lambda b: _scanned(sent, b, each), out).dropDuplicates(["id"]).withColumnRenamed("id", id_col)
+    rows = docs.select(F.struct(docs[id_col].alias("id"), F.sha2(docs[text_col], 256).alias("mark")).alias("id"), docs[text_col].alias("t"))
+    return rows.mapInArrow(lambda b: _scanned(sent, b, each), out).dropDuplicates(["id", "mark"]).drop("mark").withColumnRenamed("id", id_col)
 
 
 def _cut(text: str, leaked: np.ndarray) -> str:

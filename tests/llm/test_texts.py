@@ -150,6 +150,30 @@ def test_packing(spark):
     assert used >= -(-total // 100)
 
 
+def test_packing_keeps_items_without_an_id_apart(spark):
+    rows = [(None, 60)] * 3 + [(None, 250)] * 2 + [(None, 0)] * 2 + [(1, 60), (1, 60), (2, 250)]
+    got = [(r.i, r.tok_end - r.tok_start, r.container) for r in packing.pack(spark.createDataFrame(rows, "i bigint, n_tokens bigint"), "i", capacity=100).collect()]
+    assert sorted(n for i, n, _ in got if i is None) == [0, 0, 50, 50, 60, 60, 60, 100, 100, 100, 100]
+    assert sorted((i, n) for i, n, _ in got if i is not None) == [(1, 60), (2, 50), (2, 100), (2, 100)]
+    load = defaultdict(int)
+    for _, n, c in got:
+        load[c] += n
+    assert load.pop(None) == 0 and max(load.values()) <= 100
+
+
+def test_without_leaks_keeps_texts_of_one_id_apart(spark):
+    item = " ".join(f"leak{k}" for k in range(20))
+    texts = [f"{item} a", f"b {item} " + " ".join(f"w{k}" for k in range(40)), f"c {item}"]
+    rows = [(i, t) for i in (None, 7) for t in texts] * 2 + [(7, "nothing leaks")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    it = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    got = leakage.without_leaks(df, it)
+    assert got.columns == ["doc_id", "n_words", "n_leaked", "action", "text"]
+    want = [(21, 20, "drop"), (21, 20, "drop"), (61, 20, "cut")]
+    for i in (None, 7):
+        assert sorted((r.n_words, r.n_leaked, r.action) for r in got.collect() if r.doc_id == i) == want
+
+
 def test_evolution_never_loses_to_best_fit_decreasing():
     rng = random.Random(6)
     better = 0
