@@ -81,6 +81,12 @@ def ends_and_middle(sents: DataFrame) -> DataFrame:
     return sents.select("sid", "toks", F.explode(places).alias("i")).select("sid", "i", token_at(F.col("toks"), F.col("i")).alias("vid"))
 
 
+def every_place(sents: DataFrame) -> DataFrame:
+    """``sid, i, vid`` at each place of each sentence and at the implied end of sentence."""
+    places = F.explode(F.sequence(F.lit(0), F.size("toks")))
+    return sents.select("sid", "toks", places.alias("i")).select("sid", "i", token_at(F.col("toks"), F.col("i")).alias("vid"))
+
+
 def surface_text(sents: DataFrame, vocab: DataFrame, key: list[str] | None = None) -> DataFrame:
     """``key.., text``: each sentence as space-joined words; an empty sentence is an empty text."""
     key = key or ["sid"]
@@ -135,4 +141,4 @@ class Corpus:
         return self.sents.count()
 
 
-__all__ = ["Corpus", "append", "chunks", "encode", "ends_and_middle", "from_text", "sentences", "stats", "surface_text", "tokens", "with_eos"]
+__all__ = ["Corpus", "append", "chunks", "encode", "ends_and_middle", "every_place", "from_text", "sentences", "stats", "surface_text", "tokens", "with_eos"]

@@ -100,6 +100,11 @@ def token_places(spark, sf_dir):
     return C.ends_and_middle(_sents(spark, sf_dir)).select("sid", F.col("i").cast("bigint").alias("i"), F.col("vid").cast("bigint").alias("vid"))
 
 
+def token_at_places(spark, sf_dir):
+    """The token at every place, the end of sentence among them; ``token_places`` reads four places only."""
+    return C.every_place(_sents(spark, sf_dir)).select("sid", F.col("i").cast("bigint").alias("i"), F.col("vid").cast("bigint").alias("vid"))
+
+
 def suffix_array(spark, sf_dir):
     return _array(spark, sf_dir).select("rank", "sid", F.col("off").cast("bigint").alias("off"))
 
@@ -296,7 +301,7 @@ def events_phrase_count(spark, sf_dir):
 
 
 _ALL = (
-    text_lines, vocab_build, vocab_lookup, vocab_reverse, vocab_extend, vocab_aliases, corpus_stats, corpus_append, sentence_fetch, sentence_surface, token_places,
+    text_lines, vocab_build, vocab_lookup, vocab_reverse, vocab_extend, vocab_aliases, corpus_stats, corpus_append, sentence_fetch, sentence_surface, token_places, token_at_places,
     suffix_array, suffix_neighbors, random_access, phrase_count, phrase_narrow_trace, phrase_locate, phrase_range, phrase_eos, position_surface,
     position_add, position_compare, _ngrams(1), _ngrams(2), _ngrams(3), ngram_topk, next_token_dist, root_children, prefix_rollup, sample_positions, sample_totals,
     query_generator, query_positions_valid, trie_shape, trie_dump, index_append, index_merge, static_vs_dynamic, snapshot_phrase_count, stream_phrase_count, vid_child_path, alignment_links, aligned_tokens,
@@ -378,6 +383,8 @@ select (select max(sid) from s where side = 'src') + row_number() over (order by
     "sentence_surface": _CORPUS + f"""w as (select sid, t.o, v.surface from (select sid, unnest(toks)::bigint as vid, unnest(range(len(toks))) as o from sent) t left join {_READ} v using (vid))
 select sid, coalesce(string_agg(surface, ' ' order by o), '') as text from w group by sid union all select sid, '' from sent where len(toks) = 0""",
     "token_places": _CORPUS + """x as (select sid, toks, unnest(list_distinct([0, len(toks) // 2, greatest(len(toks) - 1, 0), len(toks)])) as i from sent)
+select sid, i, case when i = len(toks) then 1 else toks[i + 1] end::bigint as vid from x""",
+    "token_at_places": _CORPUS + """x as (select sid, toks, unnest(range(len(toks) + 1)) as i from sent)
 select sid, i, case when i = len(toks) then 1 else toks[i + 1] end::bigint as vid from x""",
     "suffix_array": _SA[:-2] + " select rank, sid, off from sa",
     "suffix_neighbors": _SA[:-2] + " select rank, lag(sid) over w as prev_sid, lag(off) over w as prev_off, lead(sid) over w as next_sid, lead(off) over w as next_off from sa window w as (order by rank)",

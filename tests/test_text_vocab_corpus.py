@@ -122,3 +122,8 @@ def test_from_text_file(spark, tmp_path):
     assert {r.surface: r.vid for r in vocab.df.collect()} == {"</s>": 1, "the": 2, "cat": 3, "": 4, "dog": 5, "last": 6}
     assert [r.toks for r in sents.orderBy("sid").collect()] == [[2, 3], [4], [2, 4, 5], [6]]
     assert C.from_text_file(spark, str(tmp_path / "t.txt"), 2)[1].count() == 2
+
+
+def test_every_place(spark):
+    sents = spark.createDataFrame([(1, [5, 6, 7, 8, 9]), (2, [])], "sid bigint, toks array<int>")
+    assert sorted(tuple(r) for r in C.every_place(sents).collect()) == [*((1, i, v) for i, v in enumerate([5, 6, 7, 8, 9, 1])), (2, 0, 1)]
