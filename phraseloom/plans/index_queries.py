@@ -152,6 +152,12 @@ def position_surface(spark, sf_dir):
     return C.surface_text(rows, _vocab(spark, sf_dir), ["sample_id"])
 
 
+def position_text(spark, sf_dir):
+    """The words from each sampled position through the end of sentence; ``position_surface`` stops after five."""
+    rows = _sampled(spark, sf_dir).select("sample_id", F.expr("slice(toks, tok_offset + 1, size(toks))").alias("toks"))
+    return C.surface_text(rows.withColumn("toks", with_eos(F.col("toks"))), _vocab(spark, sf_dir), ["sample_id"])
+
+
 def position_add(spark, sf_dir):
     """The token 1 to 3 places on, as far as the sentence goes."""
     rows = _sampled(spark, sf_dir).withColumn("k", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
@@ -302,7 +308,7 @@ def events_phrase_count(spark, sf_dir):
 
 _ALL = (
     text_lines, vocab_build, vocab_lookup, vocab_reverse, vocab_extend, vocab_aliases, corpus_stats, corpus_append, sentence_fetch, sentence_surface, token_places, token_at_places,
-    suffix_array, suffix_neighbors, random_access, phrase_count, phrase_narrow_trace, phrase_locate, phrase_range, phrase_eos, position_surface,
+    suffix_array, suffix_neighbors, random_access, phrase_count, phrase_narrow_trace, phrase_locate, phrase_range, phrase_eos, position_surface, position_text,
     position_add, position_compare, _ngrams(1), _ngrams(2), _ngrams(3), ngram_topk, next_token_dist, root_children, prefix_rollup, sample_positions, sample_totals,
     query_generator, query_positions_valid, trie_shape, trie_dump, index_append, index_merge, static_vs_dynamic, snapshot_phrase_count, stream_phrase_count, vid_child_path, alignment_links, aligned_tokens,
     events_phrase_count,
@@ -397,6 +403,9 @@ select sid, i, case when i = len(toks) then 1 else toks[i + 1] end::bigint as vi
     "phrase_eos": _SA + "hit as (select p.phrase_id, s.sid from ph p join sa s on s.f = list_append(p.q, 1)) select ph.phrase_id, count(hit.sid) as n from ph left join hit using (phrase_id) group by ph.phrase_id",
     "position_surface": _SAMPLED + f""", w as (select sample_id, t.k, v.surface from (
   select sample_id, unnest(x)::bigint as vid, unnest(range(len(x))) as k from (select sample_id, list_append(toks, 1)[o + 1:o + 5] as x from smp)) t left join {_READ} v using (vid))
+select sample_id, string_agg(surface, ' ' order by k) as text from w group by sample_id""",
+    "position_text": _SAMPLED + f""", w as (select sample_id, t.k, v.surface from (
+  select sample_id, unnest(x)::bigint as vid, unnest(range(len(x))) as k from (select sample_id, list_append(toks, 1)[o + 1:] as x from smp)) t left join {_READ} v using (vid))
 select sample_id, string_agg(surface, ' ' order by k) as text from w group by sample_id""",
     "position_add": _SAMPLED + "select sample_id, k, list_append(toks, 1)[o + k + 1]::bigint as vid from smp, (values (1::bigint), (2), (3)) g(k) where o + k <= len(toks)",
     "position_compare": _SAMPLED + "select sample_id, toks < toks[o + 1:len(toks)] as start_precedes, o = 0 as same from smp",
