@@ -23,6 +23,8 @@ def lengths(phrases: DataFrame) -> list[int]:
 def grams(sents: DataFrame, ns: list[int], max_len: int = MAX_LEN) -> DataFrame:
     """``sid, off, q``: all windows of the given lengths; the last of a sentence may end in the end of sentence.
 
+    Sentences are cut at ``max_len`` tokens as for the index: no window crosses a cut, and each cut counts as an end of
+    sentence.  All counts made from these windows stop at the cuts too.
     One generated row per token with the longest window; slices of it are plain expressions, so the whole stays in
     generated code.
     """
@@ -115,7 +117,10 @@ def anchored(phrases: DataFrame) -> DataFrame:
 
 
 def ngram_counts(sents: DataFrame, n: int) -> DataFrame:
-    """``q, n`` of every window of ``n`` tokens that begins at a token; the counts of all trie nodes at that depth."""
+    """``q, n`` of every window of ``n`` tokens that begins at a token; the counts of all trie nodes at that depth.
+
+    Windows across a cut of :func:`grams` are not counted, and each cut adds an end of sentence.
+    """
     return grams(sents, [n]).groupBy("q").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -297,7 +297,10 @@ def aligned_tokens(spark, sf_dir):
 
 
 def events_phrase_count(spark, sf_dir):
-    """Two-step sequences of event types per user, the end of a user's events included."""
+    """Two-step sequences of event types per user, the end of a user's events included.
+
+    A user's events are cut after each 255: the step across a cut is missing and the cut counts as an end.
+    """
     rows = table(spark, sf_dir, "events").where("user_id is not null and event_type is not null").select("user_id", "ts", "event_id", F.col("event_type").alias("word"))
     vocab = V.build_vocab(rows, ["word"])
     sents = V.lookup(rows, vocab).groupBy(F.col("user_id").alias("sid")).agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "vid"))), lambda x: x["vid"].cast("int")).alias("toks"))
