@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phraseloom.functions.columns import token_at, with_eos
+from phraseloom.functions.columns import token_at
 from phraseloom.operators.ordered import ranked
 from phraseloom.operators.vocab import Vocab, lookup, surfaces
-from phraseloom.schemas import MAX_LEN, SENTENCES
+from phraseloom.schemas import EOS_VID, MAX_LEN, SENTENCES
 from phraseloom.session import materialize
 from phraseloom.sources.text import read_text, reject_eos, tokens_of, word_rows
 
@@ -19,14 +19,38 @@ def sentences(deliveries: DataFrame, side: str) -> DataFrame:
     return rows.groupBy("sid").agg(F.max("toks").alias("toks"))
 
 
-def chunks(sents: DataFrame, max_len: int = MAX_LEN, on_long: str = "chunk") -> DataFrame:
-    """``sid, base, toks`` with at most ``max_len`` tokens a row; ``on_long='error'`` fails instead of cutting.
+def valid(sents: DataFrame) -> DataFrame:
+    """``sid, toks`` of the sentences; fails on a null token and on ids below 2.
 
-    ``base`` is where the row begins in its sentence.  An empty sentence stays one empty row.
+    0 is the invalid id and 1 the end of sentence, which is implied after the last token and never stored.  Everything that
+    counts or indexes tokens goes through here, so counts and array cannot disagree.  Null ``sid`` or ``toks`` is no
+    sentence, an empty one has no position.
+    """
+    bad = F.exists("toks", lambda t: t.isNull() | (t <= EOS_VID))
+    fail = F.raise_error(F.concat(F.lit("null token or reserved id in sentence "), F.col("sid").cast("string")))
+    toks = F.when(bad, fail.cast("array<int>")).otherwise(F.col("toks").cast("array<int>"))
+    return sents.where("sid is not null and toks is not null").select(F.col("sid").cast("bigint").alias("sid"), toks.alias("toks"))
+
+
+def fitted(sents: DataFrame, on_long: str = "whole", max_len: int = MAX_LEN) -> DataFrame:
+    """The sentences under a policy for more than ``max_len`` tokens: take them 'whole', or fail with 'error'.
+
+    To cut them instead, make shorter sentences first: ``Corpus.from_text(..., on_long='chunk')`` or :func:`chunks`.
+    """
+    if on_long == "whole":
+        return sents
+    if on_long != "error":
+        raise ValueError(f"on_long must be 'whole' or 'error' here, not {on_long!r}")
+    fail = F.raise_error(F.concat(F.lit("sentence too long: "), F.col("sid").cast("string")))
+    return sents.withColumn("toks", F.when(F.size("toks") > max_len, fail.cast("array<int>")).otherwise(F.col("toks")))
+
+
+def chunks(sents: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
+    """``sid, base, toks`` with at most ``max_len`` tokens a row; ``base`` is where the row begins in its sentence.
+
+    An empty sentence stays one empty row.  Indexed as sentences, the pieces each have an end of their own, and no
+    phrase is found across a cut.
     """
-    if on_long == "error":
-        fail = F.raise_error(F.concat(F.lit("sentence too long: "), F.col("sid").cast("string")))
-        return sents.select("sid", F.lit(0).alias("base"), F.when(F.size("toks") > max_len, fail.cast("array<int>")).otherwise(F.col("toks")).alias("toks"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("toks") - 1, F.lit(0)), F.lit(max_len))
     return sents.select("sid", F.explode(starts).alias("base"), "toks").select("sid", "base", F.slice("toks", F.col("base") + 1, max_len).alias("toks"))
 
@@ -38,22 +62,43 @@ def encode(words: DataFrame, vocab: DataFrame, key: list[str], place: str) -> Da
     return ids.groupBy(*key).agg(toks.alias("toks"))
 
 
-def from_text(docs: DataFrame, id_col: str, text_col: str) -> tuple[Vocab, DataFrame]:
-    """Vocabulary and sentences of texts: each line one sentence, ids by (document, line) order from 0."""
+def _numbered(coded: DataFrame, order: list[str], on_long: str, max_len: int) -> DataFrame:
+    """``sid, toks`` numbered from 0; under 'chunk' each piece of at most ``max_len`` tokens is a sentence of its own."""
+    if on_long == "chunk":
+        pieces = F.explode(F.sequence(F.lit(0), F.greatest(F.size("toks") - 1, F.lit(0)), F.lit(max_len)))
+        coded = coded.select(*order, "toks", pieces.alias("base")).withColumn("toks", F.slice("toks", F.col("base") + 1, max_len))
+        return ranked(coded, [*order, "base"], "sid").select("sid", "toks")
+    return fitted(ranked(coded, order, "sid").select("sid", "toks"), on_long, max_len)
+
+
+def from_text(docs: DataFrame, id_col: str, text_col: str, on_long: str = "whole", max_len: int = MAX_LEN) -> tuple[Vocab, DataFrame]:
+    """Vocabulary and sentences of texts: each line one sentence, ids by (document, line) order from 0.
+
+    ``on_long`` says what a line of more than ``max_len`` tokens becomes: one sentence ('whole'), several ('chunk'), or
+    a failure ('error').
+    """
     words = reject_eos(word_rows(docs, id_col, text_col))
     vocab = Vocab.build(words, ["id", "line_no", "tok_no"])
     coded = encode(words, vocab.df, ["id", "line_no"], "tok_no")
-    return vocab, ranked(coded, ["id", "line_no"], "sid").select("sid", "toks")
+    return vocab, _numbered(coded, ["id", "line_no"], on_long, max_len)
 
 
-def from_text_file(spark: SparkSession, path: str, nlines: int | None = None) -> tuple[Vocab, DataFrame]:
+def from_text_file(spark: SparkSession, path: str, nlines: int | None = None, on_long: str = "whole", max_len: int = MAX_LEN) -> tuple[Vocab, DataFrame]:
     """Vocabulary and sentences of a text file, or of its first ``nlines`` lines; sentences keep the file's order."""
     lines = read_text(spark, path, nlines).select(F.monotonically_increasing_id().alias("id"), F.col("line"))
     lines = materialize(lines)  # the numbers hold for one reading only
     words = lines.select("id", F.lit(0).alias("line_no"), F.posexplode(tokens_of(F.col("line"))).alias("tok_no", "word"))
     words = reject_eos(words)
     vocab = Vocab.build(words, ["id", "line_no", "tok_no"])
-    return vocab, ranked(encode(words, vocab.df, ["id"], "tok_no"), ["id"], "sid").select("sid", "toks")
+    return vocab, _numbered(encode(words, vocab.df, ["id"], "tok_no"), ["id"], on_long, max_len)
+
+
+def require_known(batch: DataFrame, vocab: DataFrame) -> None:
+    """Fail on a token of ``batch`` that the vocabulary lacks, before anything is written."""
+    vids = batch.select(F.explode(F.col("toks").cast("array<bigint>")).alias("vid")).distinct()
+    unknown = vids.join(vocab.select("vid").distinct(), "vid", "left_anti").first()
+    if unknown is not None:
+        raise KeyError(f"unknown id {unknown.vid}")
 
 
 def append(sents: DataFrame, batch: DataFrame, order: list[str], vocab: DataFrame | None = None) -> DataFrame:
@@ -63,9 +108,7 @@ def append(sents: DataFrame, batch: DataFrame, order: list[str], vocab: DataFram
     """
     start = sents.agg(F.coalesce(F.max("sid") + 1, F.lit(0))).first()[0]
     if vocab is not None:
-        unknown = batch.select(F.explode(F.col("toks").cast("array<bigint>")).alias("vid")).distinct().join(vocab.select("vid").distinct(), "vid", "left_anti").first()
-        if unknown is not None:
-            raise KeyError(f"unknown id {unknown.vid}")
+        require_known(batch, vocab)
     return sents.select("sid", "toks").unionByName(ranked(batch, order, "sid", start).select("sid", "toks"))
 
 
@@ -74,13 +117,6 @@ def tokens(sents: DataFrame) -> DataFrame:
     return sents.select("sid", F.posexplode("toks").alias("off", "vid"))
 
 
-def ends_and_middle(sents: DataFrame) -> DataFrame:
-    """``sid, i, vid`` at the first, the middle and the last place and at the implied end of sentence."""
-    n = F.size("toks")
-    places = F.array_distinct(F.array(F.lit(0), F.floor(n / 2).cast("int"), F.greatest(n - 1, F.lit(0)), n))
-    return sents.select("sid", "toks", F.explode(places).alias("i")).select("sid", "i", token_at(F.col("toks"), F.col("i")).alias("vid"))
-
-
 def every_place(sents: DataFrame) -> DataFrame:
     """``sid, i, vid`` at each place of each sentence and at the implied end of sentence."""
     places = F.explode(F.sequence(F.lit(0), F.size("toks")))
@@ -112,8 +148,8 @@ class Corpus:
         return cls(spark.createDataFrame([], SENTENCES), Vocab.empty(spark))
 
     @classmethod
-    def from_text(cls, docs: DataFrame, id_col: str, text_col: str) -> Corpus:
-        vocab, sents = from_text(docs, id_col, text_col)
+    def from_text(cls, docs: DataFrame, id_col: str, text_col: str, on_long: str = "whole", max_len: int = MAX_LEN) -> Corpus:
+        vocab, sents = from_text(docs, id_col, text_col, on_long, max_len)
         return cls(sents, vocab)
 
     def append(self, batch: DataFrame, order: list[str]) -> Corpus:
@@ -139,6 +175,3 @@ class Corpus:
 
     def size(self) -> int:
         return self.sents.count()
-
-
-__all__ = ["Corpus", "append", "chunks", "encode", "ends_and_middle", "every_place", "from_text", "sentences", "stats", "surface_text", "tokens", "with_eos"]

@@ -1,36 +1,92 @@
-"""Batches of phrases against sentences or an index.
+"""Batches of phrases against sentences or a sorted array.
 
-Phrases are grouped by length, so every join is an equi-join on (length, tokens): with few phrases Spark broadcasts them
-and counts in one pass over the sentences, with many it shuffles both sides.
+Every match is an equality of the first tokens, up to :data:`~phraseloom.operators.suffix.PREFIX` of them, and a longer
+phrase is then checked in its sentences.  A batch of bounded size is broadcast; a larger one meets counts that were
+combined before the shuffle.  Against an array, the least and greatest first token, or the few there are, are pushed
+to the scan of the sorted files.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phraseloom.functions.columns import with_eos
-from phraseloom.operators.corpus import chunks
-from phraseloom.schemas import EOS_VID, MAX_LEN
+from phraseloom.operators.corpus import valid
+from phraseloom.operators.suffix import PREFIX, VS, heads, suffix_text
+from phraseloom.schemas import EOS_VID
 from phraseloom.session import materialize
 
+#: Tokens of a batch of phrases that is broadcast (some 40 MB in a worker); a larger one is shuffled.
+SMALL_TOKENS = 2_000_000
+#: Distinct first tokens that are named one by one in a pushed filter.
+FEW = 1000
+
+
+def distinct(phrases: DataFrame) -> DataFrame:
+    """``q``: the distinct phrases that have tokens."""
+    return phrases.where("q is not null").select(F.col("q").cast("array<int>").alias("q")).where("size(q) > 0").distinct()
+
+
+@dataclass(frozen=True)
+class Batch:
+    """What the plan needs to know of a batch: sizes (above PREFIX as PREFIX + 1), whether it is small, first tokens."""
+
+    q: DataFrame
+    sizes: list[int]
+    small: bool
+    low: int
+    high: int
+    firsts: list[int] | None
+
+    @classmethod
+    def of(cls, phrases: DataFrame) -> Batch:
+        q = materialize(distinct(phrases))  # read once per length
+        size, first = F.least(F.size("q"), F.lit(PREFIX + 1)), F.col("q")[0]
+        held, low, high, sizes, n = q.agg(F.sum(F.size("q")), F.min(first), F.max(first), F.collect_set(size), F.approx_count_distinct(first)).first()
+        firsts = [r[0] for r in q.select(first).distinct().limit(FEW + 1).collect()] if held and n <= 2 * FEW else None
+        return cls(q, sorted(sizes), (held or 0) <= SMALL_TOKENS, low, high, firsts if firsts is not None and len(firsts) <= FEW else None)
+
+    def pruned(self, rows: DataFrame) -> DataFrame:
+        """The rows whose first token some phrase has, as far as a scan can tell."""
+        rows = rows.where(F.col("v0").between(self.low, self.high))
+        return rows if self.firsts is None else rows.where(F.col("v0").isin([v for v in self.firsts if v is not None]))
+
+    def of_size(self, n: int) -> DataFrame:
+        """``q`` and its leading tokens ``v0..``; ``n`` above PREFIX stands for all longer ones."""
+        some = self.q.where(F.size("q") == n if n <= PREFIX else F.size("q") > PREFIX)
+        out = some.select("q", *[F.get("q", F.lit(d)).alias(VS[d]) for d in range(min(n, PREFIX))])
+        return F.broadcast(out) if self.small else out
+
+
+def _longer(met: DataFrame, sents: DataFrame) -> DataFrame:
+    """Of rows ``q, sid, off, ..`` that agree in PREFIX tokens those that agree in all."""
+    return met.join(sents.select("sid", "toks"), "sid").withColumn("text", suffix_text()).where(F.expr("slice(text, 1, size(q)) = q")).drop("text", "toks")
 
-def lengths(phrases: DataFrame) -> list[int]:
-    """Distinct phrase lengths: at most as many as a sentence can be long."""
-    return sorted(r[0] for r in phrases.select(F.size("q").alias("n")).where("n > 0").distinct().collect() if r[0] <= MAX_LEN + 1)
 
+def hits(rows: DataFrame, batch: Batch, sents: DataFrame, keep: list[str]) -> DataFrame:
+    """``q, keep..`` of every occurrence among ``rows`` (``v0.., sid, off`` and what ``keep`` names)."""
+    rows, out = batch.pruned(rows) if batch.sizes else rows, None
+    for n in batch.sizes:  # at most PREFIX + 1
+        by = VS[: min(n, PREFIX)]
+        wide = list(dict.fromkeys([*keep, "sid", "off"])) if n > PREFIX else keep
+        met = rows.select(*wide, *by).join(batch.of_size(n), by)
+        met = (_longer(met, sents) if n > PREFIX else met).select("q", *keep)
+        out = met if out is None else out.unionByName(met)
+    return out if out is not None else rows.select(F.array().cast("array<int>").alias("q"), *keep).limit(0)
 
-def grams(sents: DataFrame, ns: list[int], max_len: int = MAX_LEN) -> DataFrame:
+
+def grams(sents: DataFrame, ns: list[int]) -> DataFrame:
     """``sid, off, q``: all windows of the given lengths; the last of a sentence may end in the end of sentence.
 
-    Sentences are cut at ``max_len`` tokens as for the index: no window crosses a cut, and each cut counts as an end of
-    sentence.  All counts made from these windows stop at the cuts too.
     One generated row per token with the longest window; slices of it are plain expressions, so the whole stays in
     generated code.
     """
     longest = max(ns)
-    rows = chunks(sents, max_len).select("sid", "base", with_eos(F.col("toks")).alias("full"), F.posexplode("toks").alias("o", "first"))
-    head = rows.select("sid", (F.col("base") + F.col("o")).alias("off"), F.expr(f"slice(full, o + 1, {longest})").alias("head"))
+    rows = valid(sents).select("sid", with_eos(F.col("toks")).alias("full"), F.posexplode("toks").alias("off", "first"))
+    head = rows.select("sid", "off", F.expr(f"slice(full, off + 1, {longest})").alias("head"))
     if ns == [longest]:
         return head.where(F.size("head") == longest).select("sid", "off", F.col("head").alias("q"))
     each = F.array(*[F.when(F.size("head") >= n, F.slice("head", 1, n)) for n in ns])
@@ -39,23 +95,32 @@ def grams(sents: DataFrame, ns: list[int], max_len: int = MAX_LEN) -> DataFrame:
 
 def matches(sents: DataFrame, phrases: DataFrame) -> DataFrame:
     """``phrase_id, sid, off`` of every occurrence.  An empty phrase matches nothing here; its span is the whole index."""
-    ns = lengths(phrases)
-    if not ns:
-        return phrases.select("phrase_id", F.lit(0).cast("bigint").alias("sid"), F.lit(0).alias("off")).limit(0)
     wanted = phrases.select("phrase_id", F.col("q").cast("array<int>").alias("q"))
-    return grams(sents, ns).join(wanted, "q").select("phrase_id", "sid", "off")
+    batch = Batch.of(phrases)
+    met = _in_sentences(sents, batch, ["sid", "off"])
+    return met.join(wanted, "q").select("phrase_id", "sid", "off")
+
+
+def _in_sentences(sents: DataFrame, batch: Batch, keep: list[str]) -> DataFrame:
+    """``q, keep..`` of every occurrence: one pass for all phrases up to PREFIX tokens, another for the longer ones."""
+    short = [n for n in batch.sizes if n <= PREFIX]
+    out = None
+    if short:
+        q = batch.q.where(F.size("q") <= PREFIX)
+        out = grams(sents, short).join(F.broadcast(q) if batch.small else q, "q").select("q", *keep)
+    if len(short) < len(batch.sizes):
+        long = hits(heads(sents), Batch(batch.q, batch.sizes[-1:], batch.small, batch.low, batch.high, batch.firsts), sents, keep)
+        out = long if out is None else out.unionByName(long)
+    return out if out is not None else sents.select(F.array().cast("array<int>").alias("q"), *[F.col("sid") if k == "sid" else F.lit(0).alias(k) for k in keep]).limit(0)
 
 
 def phrase_counts(sents: DataFrame, phrases: DataFrame) -> DataFrame:
-    """``phrase_id, n`` for every phrase, 0 where it does not occur.
+    """``phrase_id, n`` for every phrase, 0 where it does not occur; from the sentences, without an index.
 
     Windows are counted per distinct phrase before the ids come in, so a phrase under several ids is counted once.
     """
-    ns = lengths(phrases)
     wanted = phrases.select("phrase_id", F.col("q").cast("array<int>").alias("q"))
-    if not ns:
-        return wanted.select("phrase_id", F.lit(0).cast("bigint").alias("n"))
-    counted = grams(sents, ns).select("q").join(wanted.select("q").distinct(), "q").groupBy("q").agg(F.count(F.lit(1)).alias("n"))
+    counted = _in_sentences(sents, Batch.of(phrases), ["sid"]).groupBy("q").agg(F.count(F.lit(1)).alias("n"))
     return wanted.join(counted, "q", "left").select("phrase_id", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
 
 
@@ -64,17 +129,14 @@ def narrow_trace(sents: DataFrame, phrases: DataFrame) -> DataFrame:
 
     A step that finds nothing gives 0 and leaves the span as it was; later tokens are then tried from there.
     """
-    longest = max(lengths(phrases), default=0)
     base = phrases.select("phrase_id", F.col("q").cast("array<int>").alias("q"))
+    longest = base.agg(F.max(F.size("q"))).first()[0] or 0
     state = base.withColumns({"cur": F.array().cast("array<int>"), "n": F.lit(0).cast("bigint")})
     out = None
     for d in range(1, longest + 1):
         live = state.where(F.size("q") >= d).withColumn("next", F.concat("cur", F.array(F.get("q", F.lit(d - 1)))))
-        tried = live.select("next").distinct()
-        ns = [r[0] for r in tried.select(F.size("next")).distinct().collect()]  # at most d lengths
-        if not ns:
-            break
-        counted = grams(sents, sorted(ns)).withColumnRenamed("q", "next").join(tried, "next").groupBy("next").agg(F.count(F.lit(1)).alias("hits"))
+        tried = live.select(F.col("next").alias("q"))
+        counted = _in_sentences(sents, Batch.of(tried), ["sid"]).groupBy(F.col("q").alias("next")).agg(F.count(F.lit(1)).alias("hits"))
         step = live.join(counted, "next", "left").withColumn("hits", F.coalesce("hits", F.lit(0).cast("bigint")))
         # Written out per step: the next one reads as many rows as there are phrases, not the sentences again.
         state = materialize(step.select("phrase_id", "q", F.when(F.col("hits") > 0, F.col("next")).otherwise(F.col("cur")).alias("cur"), F.col("hits").alias("n")))
@@ -83,32 +145,39 @@ def narrow_trace(sents: DataFrame, phrases: DataFrame) -> DataFrame:
     return out if out is not None else base.select("phrase_id", F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("span_depth")).limit(0)
 
 
-def prefixes(sa: DataFrame, ns: list[int], name: str = "q") -> DataFrame:
-    """``rank, sid, off, q``: the prefixes of the given lengths of each indexed suffix with its end, where it is that long."""
-    if not ns:
-        return sa.select("rank", "sid", "off", F.array().cast("array<int>").alias(name)).limit(0)
-    head = sa.select("rank", "sid", "off", F.slice(with_eos(F.col("suf")), 1, max(max(ns), 1)).alias("head"))
-    each = F.array(*[F.when(F.size("head") >= n, F.slice("head", 1, n)) for n in ns])
-    return head.select("rank", "sid", "off", F.explode(each).alias(name)).where(F.col(name).isNotNull())
+def bounds(sa: DataFrame, batch: Batch, sents: DataFrame) -> DataFrame:
+    """``q, begin, end``: the half-open range of ranks of each phrase that occurs; matches are contiguous."""
+    if batch.small or not batch.sizes:
+        return hits(sa, batch, sents, ["rank"]).groupBy("q").agg(F.min("rank").alias("begin"), (F.max("rank") + 1).alias("end"))
+    # The sorted files combine to nearly one row per distinct prefix before they are shuffled.
+    rows, out = batch.pruned(sa), None
+    for n in batch.sizes:
+        by = VS[: min(n, PREFIX)]
+        if n > PREFIX:
+            met = _longer(rows.select("rank", "sid", "off", *by).join(batch.of_size(n), by), sents).groupBy("q").agg(F.min("rank").alias("begin"), (F.max("rank") + 1).alias("end"))
+        else:
+            met = rows.groupBy(*by).agg(F.min("rank").alias("begin"), (F.max("rank") + 1).alias("end")).join(batch.of_size(n), by).select("q", "begin", "end")
+        out = met if out is None else out.unionByName(met)
+    return out
+
+
+def ranges(sa: DataFrame, phrases: DataFrame, sents: DataFrame) -> DataFrame:
+    """``phrase_id, begin, end``: the half-open rank range of each phrase that occurs."""
+    wanted = phrases.select("phrase_id", F.col("q").cast("array<int>").alias("q"))
+    return wanted.join(bounds(sa, Batch.of(phrases), sents), "q").select("phrase_id", "begin", "end")
 
 
-def locate(sa: DataFrame, phrases: DataFrame) -> DataFrame:
-    """``phrase_id, k, rank, sid, off``: occurrences in suffix order; prefixes of the index's suffixes meet the phrases.
+def locate(sa: DataFrame, phrases: DataFrame, sents: DataFrame) -> DataFrame:
+    """``phrase_id, k, rank, sid, off``: occurrences in suffix order.
 
     A phrase's matches are contiguous in rank, so ``k`` is the distance from its first rank and no window is needed,
     which a phrase with a tenth of all positions would overload.
     """
-    first = ranges(sa, phrases).join(phrases.select("phrase_id", F.col("q").cast("array<int>").alias("q")), "phrase_id").select("phrase_id", "q", "begin")
-    hits = prefixes(sa, lengths(phrases)).join(first, "q")
-    return hits.select("phrase_id", (F.col("rank") - F.col("begin")).alias("k"), "rank", "sid", "off")
-
-
-def ranges(sa: DataFrame, phrases: DataFrame) -> DataFrame:
-    """``phrase_id, begin, end``: the half-open rank range of each phrase that occurs; matches are contiguous."""
     wanted = phrases.select("phrase_id", F.col("q").cast("array<int>").alias("q"))
-    found = prefixes(sa, lengths(phrases)).select("rank", "q").join(wanted.select("q").distinct(), "q")
-    bounds = found.groupBy("q").agg(F.min("rank").alias("begin"), (F.max("rank") + 1).alias("end"))
-    return wanted.join(bounds, "q").select("phrase_id", "begin", "end")
+    batch = Batch.of(phrases)
+    first = bounds(sa, batch, sents).join(wanted, "q").select("phrase_id", "q", "begin")
+    met = hits(sa, batch, sents, ["rank", "sid", "off"]).join(F.broadcast(first) if batch.small else first, "q")
+    return met.select("phrase_id", (F.col("rank") - F.col("begin")).alias("k"), "rank", "sid", "off")
 
 
 def anchored(phrases: DataFrame) -> DataFrame:
@@ -117,10 +186,7 @@ def anchored(phrases: DataFrame) -> DataFrame:
 
 
 def ngram_counts(sents: DataFrame, n: int) -> DataFrame:
-    """``q, n`` of every window of ``n`` tokens that begins at a token; the counts of all trie nodes at that depth.
-
-    Windows across a cut of :func:`grams` are not counted, and each cut adds an end of sentence.
-    """
+    """``q, n`` of every window of ``n`` tokens that begins at a token; the counts of all trie nodes at that depth."""
     return grams(sents, [n]).groupBy("q").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -131,12 +197,21 @@ def top_ngrams(sents: DataFrame, n: int, k: int) -> DataFrame:
 
 def next_tokens(sents: DataFrame, phrases: DataFrame) -> DataFrame:
     """``phrase_id, vid, n, cum_before``: what follows each phrase, with partial sums in id order."""
-    ns = [n + 1 for n in lengths(phrases) if n <= MAX_LEN]
     wanted = phrases.select("phrase_id", F.col("q").cast("array<int>").alias("q"))
-    if not ns:
+    batch = Batch.of(phrases)
+    short, counted = [n for n in batch.sizes if n <= PREFIX], None
+    if short:
+        q = batch.q.where(F.size("q") <= PREFIX)
+        longer = grams(sents, [n + 1 for n in short]).select(F.expr("slice(q, 1, size(q) - 1)").alias("q"), F.element_at("q", -1).alias("vid"))
+        counted = longer.join(F.broadcast(q) if batch.small else q, "q")
+    if len(short) < len(batch.sizes):
+        at = hits(heads(sents), Batch(batch.q, batch.sizes[-1:], batch.small, batch.low, batch.high, batch.firsts), sents, ["sid", "off"])
+        after = F.get(suffix_text(), F.size("q"))
+        rows = at.join(sents.select("sid", "toks"), "sid").select("q", after.alias("vid")).where("vid is not null")
+        counted = rows if counted is None else counted.unionByName(rows)
+    if counted is None:
         return wanted.select("phrase_id", F.lit(0).alias("vid"), *[F.lit(0).cast("bigint").alias(c) for c in ("n", "cum_before")]).limit(0)
-    longer = grams(sents, ns).select(F.expr("slice(q, 1, size(q) - 1)").alias("q"), F.element_at("q", -1).alias("vid"))
-    counted = longer.join(wanted.select("q").distinct(), "q").groupBy("q", "vid").agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.groupBy("q", "vid").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("phrase_id").orderBy("vid").rowsBetween(Window.unboundedPreceding, -1)
     out = wanted.join(counted, "q").select("phrase_id", "vid", "n")
     return out.withColumn("cum_before", F.coalesce(F.sum("n").over(before), F.lit(0).cast("bigint")))

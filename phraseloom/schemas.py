@@ -19,3 +19,4 @@ VOCAB = T.StructType([T.StructField("vid", T.LongType()), T.StructField("surface
 SENTENCES = T.StructType([T.StructField("sid", T.LongType()), T.StructField("toks", T.ArrayType(T.IntegerType()))])
 ALIGNMENT = T.StructType([T.StructField("sid", T.LongType()), T.StructField("links", T.ArrayType(LINK))])
 POSITIONS = T.StructType([T.StructField("rank", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("off", T.IntegerType())])
+RUN = T.StructType([*POSITIONS.fields, *[T.StructField(f"v{d}", T.IntegerType()) for d in range(8)]])

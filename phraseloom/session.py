@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,16 +52,48 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame) -> DataFrame:
+#: Paths written inside the open :func:`scratch` scopes, innermost last.
+_SCOPES: list[list[str]] = []
+
+
+def temporary(spark: SparkSession, prefix: str = "phraseloom", keep: bool = False) -> str:
+    """A new path below :func:`shared_dir`, removed at the end of the innermost :func:`scratch` scope.
+
+    Outside of a scope, and for ``keep`` outside of the innermost one, it goes with the scope around, or when the
+    driver's Python ends.
+    """
+    path = f"{shared_dir(spark).rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
+    scopes = _SCOPES[:-1] if keep else _SCOPES
+    if scopes:
+        scopes[-1].append(path)
+    else:
+        atexit.register(_remove, spark, path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that :func:`materialize` writes within go at the end, but for those it is told to keep.
+
+    Only for code whose result is itself written: a lazy result would read files that are gone.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _remove(spark, path)
+
+
+def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet below :func:`shared_dir` and return a scan of it.
 
     Cuts the lineage: later stages read the files, not the executors that made them, so a lost executor costs only its
-    running tasks.  The files go when the driver's Python ends.
+    running tasks.  :func:`temporary` says how long the files stay.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/phraseloom-{uuid.uuid4().hex}"
+    path = temporary(spark, keep=keep)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -11,9 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from phraseloom.operators.vocab import with_eos_alias
 from phraseloom.schemas import ALIGNMENT, MAGIC_V2, MAGIC_V3, SENTENCES, VOCAB
@@ -24,6 +26,7 @@ _POSITION = np.dtype([("sid", "<u4"), ("off", "u1")])
 
 
 def _open(path: str):
+    """A plain path is of a file system that every task sees mounted, such as the local one of a single machine."""
     where, name = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
     return where.open_input_file(name)
 
@@ -115,17 +118,18 @@ def read_corpus(spark: SparkSession, path: str, index_path: str | None = None) -
 
 def read_alignment(spark: SparkSession, path: str, index_path: str | None = None) -> DataFrame:
     """``sid, links`` of an alignment file: two bytes a link, index entries count bytes."""
-    index = _layout(path, index_path)
+    index, arrow = _layout(path, index_path), to_arrow_schema(ALIGNMENT)
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in zip(batch.a, batch.b):
-                at = _bounds(index, int(a), int(b))
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                at = _bounds(index, a, b)
                 pairs = np.frombuffer(_bytes(path, 24 + int(at[0]), int(at[-1] - at[0])), "u1").reshape(-1, 2)
-                each = np.split(pairs, (at[1:-1] - at[0]) // 2)
-                yield pd.DataFrame({"sid": np.arange(a, b), "links": [[{"src": int(s), "trg": int(t)} for s, t in x] for x in each]})
+                links = pa.StructArray.from_arrays([pa.array(pairs[:, c].astype(np.int32)) for c in (0, 1)], fields=list(arrow.field("links").type.value_type))
+                lists = pa.ListArray.from_arrays(pa.array(((at - at[0]) // 2).astype(np.int32)), links)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, b)), lists], schema=arrow)
 
-    return _ranges(spark, index[2]).mapInPandas(rows, ALIGNMENT)
+    return _ranges(spark, index[2]).mapInArrow(rows, ALIGNMENT)
 
 
 def _read_positions(spark: SparkSession, path: str, at: int, n: int) -> DataFrame:

@@ -38,3 +38,7 @@ def word_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def reject_eos(words: DataFrame) -> DataFrame:
     """Fail on a literal end-of-sentence word: it is implied, never written."""
     return words.withColumn("word", F.when(F.col("word") == EOS, F.raise_error(F.lit("the end of sentence must not be a word"))).otherwise(F.col("word")))
+
+
+def folder_of(path: str) -> str:
+    return path.rsplit("/", 1)[0] if "/" in path else "."

@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 def spark():
     from phraseloom.session import local_session
 
-    s = local_session("4", partitions=4, memory="3g")
+    s = local_session("4", partitions=3, memory="3g")
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

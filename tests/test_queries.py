@@ -30,10 +30,3 @@ def test_query_equals_its_twin(spark, sf_dir, con, name):
     rel = con.sql(catalog.oracle_sql()[name])
     got, want = canon(df.columns, [tuple(r) for r in df.collect()]), canon(list(rel.columns), rel.fetchall())
     assert got[0] == want[0] and got[2] == want[2]
-
-
-def test_position_text_goes_on_to_the_end(spark, sf_dir):
-    short = {r.sample_id: r.text for r in catalog.queries()["position_surface"](spark, sf_dir).collect()}
-    whole = {r.sample_id: r.text for r in catalog.queries()["position_text"](spark, sf_dir).collect()}
-    assert set(whole) == set(short) and all(t.startswith(short[k]) and t.endswith("</s>") for k, t in whole.items())
-    assert max(len(t.split(" ")) for t in whole.values()) > 5

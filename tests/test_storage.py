@@ -1,7 +1,9 @@
+import os
 import struct
 
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 
 from phraseloom.operators import alignment as A
 from phraseloom.operators.incremental import Store
@@ -9,6 +11,7 @@ from phraseloom.operators.index import TokenIndex
 from phraseloom.operators.vocab import Vocab
 from phraseloom.schemas import ALIGNMENT, MAGIC_V2, MAGIC_V3, SENTENCES
 from phraseloom.sources import binary as B
+from phraseloom.sources import export as E
 from phraseloom.streaming import ingest as I
 
 WORDS = "apple and orange and pear and apple and orange".split()
@@ -121,11 +124,58 @@ def test_store(spark, tmp_path):
     ph = spark.createDataFrame([(0, [7]), (1, [7, 4]), (2, [9])], "phrase_id bigint, q array<int>")
     assert {r.phrase_id: r.n for r in store.counts(ph).collect()} == {0: 3, 1: 2, 2: 0}
     before = store.manifest()
+    assert before["last_batch"] == {"": 1} and len(before["runs"]) == 1  # the second batch was as large as the first
+    assert store.append(spark.createDataFrame([(5, [4])], "k int, toks array<int>"), ["k"], 2, fanout=1)
+    assert [r["n"] for r in store.manifest()["runs"]] == [6, 1]
+    assert {r.phrase_id: r.n for r in store.counts(ph).collect()} == {0: 3, 1: 2, 2: 0}
     store.compact()
-    assert len(before["runs"]) == 2 and len(store.manifest()["runs"]) == 1
+    assert len(store.manifest()["runs"]) == 1 and len(store.vacuum()) >= 3
     whole = TokenIndex.build(store.sentences()).sa
-    for sa in (store.merged(),):
-        assert [(r.rank, r.sid, r.off) for r in sa.orderBy("rank").collect()] == [(r.rank, r.sid, r.off) for r in whole.orderBy("rank").collect()]
+    assert [(r.rank, r.sid, r.off) for r in store.merged().orderBy("rank").collect()] == [(r.rank, r.sid, r.off) for r in whole.orderBy("rank").collect()]
+    version = store.manifest()["version"]
+    for bad, vocab in (([0, 2], None), ([99], spark.createDataFrame([(7,)], "vid bigint"))):
+        with pytest.raises((PySparkException, KeyError)):
+            store.append(spark.createDataFrame([(0, bad)], "k int, toks array<int>"), ["k"], vocab=vocab)
+    assert store.manifest()["version"] == version
+
+
+def test_writers_and_readers(spark, tmp_path):
+    rows = [(0, [2, 3]), (1, []), (2, [5, 4, 3])]
+    sents = spark.createDataFrame(rows, SENTENCES)
+    E.write_corpus(sents, str(tmp_path / "a/c.mct"))
+    E.write_corpus(sents, str(tmp_path / "c.trk"), str(tmp_path / "c.six"))
+    for df in (B.read_corpus(spark, str(tmp_path / "a/c.mct")), B.read_corpus(spark, str(tmp_path / "c.trk"), str(tmp_path / "c.six"))):
+        assert [tuple(r) for r in df.orderBy("sid").collect()] == rows
+    with pytest.raises(ValueError):
+        E.write_corpus(sents.where("sid > 0"), str(tmp_path / "gap"))
+    with pytest.raises(PySparkException):
+        E.write_suffix_array(spark.createDataFrame([(0, 0, 256)], "rank bigint, sid bigint, off int"), str(tmp_path / "far"))
+
+
+def test_lines_keep_the_order_of_files(spark, tmp_path):
+    """A large file is read before a small one; times and names decide, not the scan."""
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.txt").write_text("first line\n")
+    (src / "b.txt").write_text("".join(f"w{i}\n" for i in range(3000)))
+    for k, f in enumerate("ab"):
+        os.utime(src / f"{f}.txt", (1_000_000 + k, 1_000_000 + k))
+    store = Store(spark, str(tmp_path / "store"))
+    I.ingest(I.text_stream(spark, str(src)), I.append_lines(store), str(tmp_path / "ckpt"), once=True).awaitTermination()
+    words = {r.surface: r.vid for r in store.vocab().collect()}
+    assert words["first"] == 2 and words["line"] == 3 and words["w0"] == 4 and words["w2999"] == 3003
+    assert store.sentences().where("sid = 0").first().toks == [2, 3] and store.sentences().where("sid = 3000").first().toks == [3003]
+    assert store.manifest()["version"] == 1  # vocabulary, sentences and run in one step
+
+
+def test_repeated_keys_of_a_stream(spark, tmp_path):
+    store, each = Store(spark, str(tmp_path / "store")), None
+    each = I.append_sentences(store, ["k"], key="k")
+    schema = "k int, toks array<int>"
+    each(spark.createDataFrame([(1, [2]), (1, [2]), (2, [3]), (3, None)], schema), 0)
+    for _ in range(2):  # the second is a replay
+        each(spark.createDataFrame([(2, [3]), (4, [5])], schema), 1)
+    assert [tuple(r) for r in store.sentences().orderBy("sid").collect()] == [(0, [2]), (1, [3]), (2, [5])]
 
 
 def test_text_stream(spark, tmp_path):

@@ -96,9 +96,12 @@ def test_token_at_reads_the_implied_end(spark):
 def test_chunks(spark, n, bases):
     df = spark.createDataFrame([(0, list(range(2, n + 2)))], SENTENCES)
     assert [r.base for r in C.chunks(df).orderBy("base").collect()] == bases
+    fits = C.fitted(df, "error")
     if n > 255:
         with pytest.raises(PySparkException):
-            C.chunks(df, on_long="error").collect()
+            fits.collect()
+    else:
+        assert len(fits.first().toks) == n
 
 
 def test_repeated_deliveries_are_one_sentence(spark):
