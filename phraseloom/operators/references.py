@@ -74,8 +74,9 @@ def referenced_state(keys: DataFrame, parents: DataFrame) -> DataFrame:
     """State of each distinct referenced (side, sid): ``found, deleted, arrived, n_tok``."""
     runs = key_runs(parents, ["side"], "sid", "deleted", unique=True)
     at = asof_match(keys, runs, ["side"], "sid", ["first_ref"], "deleted")
-    known = parents.select("side", "sid", "arrived", "n_tok")
-    return at.select("side", "sid", "first_ref", "found", F.when(F.col("found"), F.col("deleted")).alias("deleted")).join(known, ["side", "sid"], "left")
+    known = parents.select("side", "sid", "arrived", "n_tok").withColumn("found", F.lit(True))
+    # Whether a key is found is the runs' word; arrival and length are looked up for found keys only.
+    return at.select("side", "sid", "first_ref", "found", F.when(F.col("found"), F.col("deleted")).alias("deleted")).join(known, ["side", "sid", "found"], "left")
 
 
 def _reason(at: str) -> Column:
