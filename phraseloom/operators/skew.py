@@ -7,18 +7,27 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phraseloom.session import materialize
 
-def heavy_keys(df: DataFrame, key: str, share: float) -> tuple[list, int]:
-    """Keys that hold at least ``share`` of all rows, and the number of rows.
+SALTS = 64
 
-    Exact: map-side combined counts of the one column.  At most ``1 / share`` keys can qualify, which bounds what
-    reaches the driver.
+
+def salted_counts(df: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
+    """``key, n_rows`` of every key, null included, in one read: stage one counts per (key, salt), stage two adds up.
+
+    The salt is the number of the task that reads the row, so it costs no partial row that plain partial counts would
+    not make, and a heavy key's partials go to ``salts`` tasks, not to one.  Counts do not depend on it.
     """
-    total = df.count()
-    if not total:
-        return [], 0
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") >= share * total)
-    return [r[0] for r in counts.select(key).collect()], total
+    rows = df.select(F.col(key).alias("__key"), F.pmod(F.spark_partition_id(), F.lit(salts)).alias("__salt"))
+    first = rows.groupBy("__key", "__salt").agg(F.count(F.lit(1)).alias("__n"))
+    return first.groupBy(F.col("__key").alias(key)).agg(F.sum("__n").alias("n_rows"))
+
+
+def heavy_keys(df: DataFrame, key: str, share: float) -> list:
+    """Non-null keys that hold at least ``share`` of all rows: at most ``1 / share``, which bounds what reaches the driver."""
+    counts = materialize(salted_counts(df, key))
+    n = counts.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
+    return [r[0] for r in counts.where(F.col(key).isNotNull() & (F.col("n_rows") >= share * n)).select(key).collect()] if n else []
 
 
 def salted_aggregate(
@@ -28,34 +37,33 @@ def salted_aggregate(
     low: str | None = None,
     high: str | None = None,
     share: float = 0.005,
-    salts: int = 64,
+    salts: int = SALTS,
     heavy: list | None = None,
     salt_by: list[str] | None = None,
 ) -> DataFrame:
     """Per ``key``: ``n_rows``, ``n_distinct`` of ``distinct``, least ``low`` and greatest ``high``.
 
-    Rows of a heavy key (``share`` of all rows or more) get a salt from a hash of their ``distinct`` value, other rows
-    salt 0.  Stage one aggregates per (key, salt), stage two merges the partials per key; a value always gets the same
-    salt, so distinct counts add up, and a retried task repeats its result.  Without ``distinct`` the salt comes from
-    the columns ``salt_by`` (all, if not given).  No task sees more of a heavy key than about ``1 / salts`` of its distinct values.
+    Heavy keys (``share`` of all rows or more) are salted by a hash of their ``distinct`` value: stage one aggregates per
+    (key, salt), where a value always gets the same salt, so distinct counts add up and a retried task repeats its result;
+    stage two merges the partials.  No task sees more of a heavy key than about ``1 / salts`` of its distinct values.  Without ``distinct`` the salt comes from the
+    columns ``salt_by`` (all, if not given).
 
     Null keys are left out; null values count as rows but not as distinct values, lows or highs.  Repeated rows count
     each.  An empty table gives no rows.  Columns called ``salt`` or ``n`` in the input do no harm.
     """
-    if heavy is None:
-        heavy, _ = heavy_keys(df, key, share)
+    heavy = heavy_keys(df, key, share) if heavy is None else heavy
     cols = {"__d": distinct, "__lo": low, "__hi": high}
     seen = F.col(distinct) if distinct else F.struct(*(salt_by or df.columns))
-    salt = F.pmod(F.xxhash64(seen), F.lit(salts)).cast("int")
-    if heavy:
-        salt = F.when(F.col(key).isin(heavy), salt).otherwise(F.lit(0))
-    else:
-        salt = F.lit(0)
-    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("__key"), salt.alias("__salt"), *[F.col(c).alias(n) for n, c in cols.items() if c])
+    hash_ = F.pmod(F.xxhash64(seen), F.lit(salts)).cast("int")
+    salt = F.when(F.col(key).isin(heavy), hash_).otherwise(F.lit(0)) if heavy else F.lit(0)
+    some = df.where(F.col(key).isNotNull())
     ends = [F.min("__lo").alias("__lo")] * bool(low) + [F.max("__hi").alias("__hi")] * bool(high)
+    rows = some.select(F.col(key).alias("__key"), salt.alias("__salt"), *[F.col(c).alias(n) for n, c in cols.items() if c])
     if distinct:
-        rows = rows.groupBy("__key", "__salt", "__d").agg(F.count(F.lit(1)).alias("__n"), *ends)
-        first = rows.groupBy("__key", "__salt").agg(F.sum("__n").alias("__n"), F.count("__d").alias("__d"), *ends)
+        # The salt follows from key and value, so it is made behind the shuffle of their pairs and isn't moved.
+        pairs = rows.drop("__salt").groupBy("__key", "__d").agg(F.count(F.lit(1)).alias("__n"), *ends)
+        again = F.when(F.col("__key").isin(heavy), F.pmod(F.xxhash64("__d"), F.lit(salts)).cast("int")).otherwise(F.lit(0)) if heavy else F.lit(0)
+        first = pairs.withColumn("__salt", again).groupBy("__key", "__salt").agg(F.sum("__n").alias("__n"), F.count("__d").alias("__d"), *ends)
     else:
         first = rows.groupBy("__key", "__salt").agg(F.count(F.lit(1)).alias("__n"), *ends)
     out = [F.sum("__n").alias("n_rows")]
@@ -64,8 +72,12 @@ def salted_aggregate(
     return first.groupBy(F.col("__key").alias(key)).agg(*out)
 
 
-def hot_keys(df: DataFrame, key: str, share: float, salts: int = 64, salt_by: list[str] | None = None) -> DataFrame:
-    """Keys with at least ``share`` of all rows (null keys count in the total): ``key, n_rows``."""
-    heavy, total = heavy_keys(df, key, min(share, 0.005))
+def hot_keys(df: DataFrame, key: str, share: float, salts: int = SALTS) -> DataFrame:
+    """Keys with at least ``share`` of all rows (null keys count in the total): ``key, n_rows``.
+
+    The table is read once: the salted counts, a row a key, give the total too.
+    """
+    counts = materialize(salted_counts(df, key, salts))
+    total = counts.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
     part = Fraction(share).limit_denominator(10_000)
-    return salted_aggregate(df, key, salts=salts, heavy=heavy, salt_by=salt_by).where(F.col("n_rows") * part.denominator >= part.numerator * total)
+    return counts.where(F.col(key).isNotNull() & (F.col("n_rows") * part.denominator >= part.numerator * total))

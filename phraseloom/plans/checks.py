@@ -27,8 +27,8 @@ def p4_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
-    for name, key, by in (("tokens", "vid", ["sid", "tok_offset"]), ("sampled_positions", "sid", ["sample_id"])):
-        hot = hot_keys(table(spark, sf_dir, name), key, HOT_SHARE, salt_by=by)
+    for name, key in (("tokens", "vid"), ("sampled_positions", "sid")):
+        hot = hot_keys(table(spark, sf_dir, name), key, HOT_SHARE)
         parts.append(hot.select(F.lit(f"{name}.{key}").alias("field"), F.col(key).cast("bigint").alias("hot_key")))
     return parts[0].unionByName(parts[1])
 
