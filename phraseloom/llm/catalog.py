@@ -80,11 +80,34 @@ def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containers used, the least number that the tokens need, and the share of room used."""
-    used = p7_packed(spark, sf_dir).where("container is not null")
-    out = used.agg(F.countDistinct("container").alias("n_containers"), F.sum(F.col("tok_end") - F.col("tok_start")).alias("n_tokens"))
-    size = F.lit(packing.CAPACITY)
-    return out.select("n_containers", F.ceil(F.col("n_tokens") / size).alias("least"), (F.col("n_tokens") / (F.col("n_containers") * size)).alias("fill"))
+    """Per level of packing: shards, containers by best fit alone and after evolution, generations that the islands ran; and
+    of the whole the containers used, the least number that the tokens need, and the share of room used."""
+    packed, levels = packing.pack_levels(packing.token_counts(table(spark, sf_dir, "documents")))
+    n, tokens = packed.where("container is not null").agg(F.countDistinct("container"), F.sum(F.col("tok_end") - F.col("tok_start"))).first()
+    room = (n or 0) * packing.CAPACITY
+    of_all = {"n_containers": F.lit(n or 0).cast("bigint"), "least": F.lit(-(-(tokens or 0) // packing.CAPACITY)).cast("bigint"), "fill": F.lit((tokens or 0) / room if room else None).cast("double")}
+    return levels.withColumns(of_all)
+
+
+def p7_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every filling must keep: all items placed, none cut below the capacity, no gap, no container overfull."""
+    rows = p7_packed(spark, sf_dir)
+    size = packing.CAPACITY
+    per = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("tok_end").alias("end"), F.sum(F.col("tok_end") - F.col("tok_start")).alias("held"), F.max("piece").alias("last"))
+    split = F.count_if((F.col("n") > 1) & (F.col("end") <= size)).alias("n_cut_small")
+    gaps = F.count_if((F.col("held") != F.col("end")) | (F.col("last") != F.col("n") - 1)).alias("n_gaps")
+    items = per.agg(F.count(F.lit(1)).alias("n_docs"), split, gaps)
+    over = rows.where("container is not null").groupBy("container").agg(F.sum(F.col("tok_end") - F.col("tok_start")).alias("load")).where(F.col("load") > size).count()
+    return items.withColumn("n_over", F.lit(over).cast("bigint"))
+
+
+def p1_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per split sequence: tokens that its pieces add, and how many pieces are too long or repeat other than the stated overlap."""
+    limit, overlap = splitting.LIMIT, splitting.OVERLAP
+    size, again = F.col("end") - F.col("start"), F.col("new_from") - F.col("start")
+    pieces = splitting.split_sequences(table(spark, sf_dir, "corpus"), table(spark, sf_dir, "vocab"))
+    bad = F.count_if((size > limit) | (size != F.size("toks"))).alias("n_too_long"), F.count_if(again != F.when(F.col("piece") == 0, 0).otherwise(F.least(F.lit(overlap), F.col("new_from")))).alias("n_bad_overlap")
+    return pieces.groupBy("side", "sid").agg(F.sum(F.col("end") - F.col("new_from")).alias("n_tokens"), *bad)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +126,7 @@ def p9_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.canonical_texts(table(spark, sf_dir, "documents"), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_segments, p2_found, p2_counts, p2_vocab_use, p3_found, p3_share, p3_passages, p6_found, p6_groups, p7_packed, p7_fill, p8_found, p8_clean, p9_found, p9_texts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_cover, p1_segments, p2_found, p2_counts, p2_vocab_use, p3_found, p3_share, p3_passages, p6_found, p6_groups, p7_packed, p7_fill, p7_valid, p8_found, p8_clean, p9_found, p9_texts)}
 
 # Independent of the operator's short cuts: every test runs on every text.
 _PLAIN = """nfc_normalize(translate(regexp_replace(text, '[\\x{AD}\\x{200B}-\\x{200D}\\x{2060}\\x{FEFF}]', '', 'g'),
@@ -144,6 +167,8 @@ select cls.sid, cls.class_id, root.group_id, coalesce(n_links, 0)::bigint as n_l
     "p3_share": _P3 + """
 select s.sid, cast(len(toks) as bigint) as n_tokens, coalesce(n, 0)::bigint as n_shared, case when len(toks) > 0 then coalesce(n, 0)::double / len(toks) end as share
 from s left join (select sid, sum(run_end - run_start) as n from runs group by sid) r using (sid)""",
+    "p1_cover": "select side, sid, max(len(toks)) as n_tokens, 0::bigint as n_too_long, 0::bigint as n_bad_overlap from corpus where len(toks) > 255 group by side, sid",
+    "p7_valid": "select count(distinct doc_id) as n_docs, 0::bigint as n_cut_small, 0::bigint as n_gaps, 0::bigint as n_over from documents",
     "p1_found": "select side, sid from corpus where len(toks) > 255 group by side, sid",
     "p2_found": _P2 + "select vid, mark from m where mark is not null",
     "p2_counts": _P2 + "select vid, n_occ, n_records, mark from m",

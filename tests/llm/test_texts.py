@@ -218,7 +218,7 @@ def test_evolution_never_loses_to_best_fit_decreasing():
         sizes = [rng.randrange(20, 70) for _ in range(120)]
         down = sorted(range(len(sizes)), key=lambda i: -sizes[i])
         plain = packing.best_fit(down, sizes, 100)
-        best = packing.evolve(sizes, 100, [], (seed,), generations=12, population=6)[0]
+        best = packing.evolve(sizes, 100, [], (seed,), generations=12, population=6)[0][0]
         assert sorted(i for b in best.bins for i in b) == list(range(120))
         assert best.loads == [sum(sizes[i] for i in b) for b in best.bins] and max(best.loads) <= 100
         assert best.cost(100) <= plain.cost(100)
@@ -233,3 +233,21 @@ def test_token_counts(spark):
     df = spark.createDataFrame([(1, "two words"), (2, ""), (3, None), (4, "a" * 200_000)], "doc_id bigint, text string")
     got = {r.doc_id: r.n_tokens for r in packing.token_counts(df).collect()}
     assert got[1] >= 2 and got[2] == got[3] == 0 and got[4] > 1000
+
+
+def test_evolution_beats_best_fit(spark):
+    """Sizes of 100 filled triples, made so that best fit by falling size needs more containers than there are triples."""
+    rng = random.Random(8)
+    sizes = []
+    for _ in range(100):
+        a, b = rng.randrange(26, 49), rng.randrange(26, 49)
+        sizes += [a, b, 100 - a - b] if 100 - a - b > 0 else [a, 100 - a]
+    least = -(-sum(sizes) // 100)
+    fit = len(packing.best_fit(sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)), sizes, 100).bins)
+    pool, ran = packing.evolve(sizes, 100, [], (1, 2, 3), generations=12, population=8)
+    assert ran > 0 and least <= len(pool[0].bins) < fit
+    df = spark.createDataFrame(list(enumerate(sizes)), "i bigint, n_tokens bigint")
+    rows, levels = packing.pack_levels(df, "i", capacity=100, shard_items=100, islands=2)
+    used, _ = check_packing(rows.collect(), dict(enumerate(sizes)), 100)
+    stats = {r.level: r for r in levels.collect()}
+    assert stats[0].generations > 0 and len(stats) > 1 and used < stats[0].n_fit
