@@ -29,6 +29,8 @@ LENGTH = 25
 SEED = 13
 GAP_COST = 0.25
 TILE = 512
+#: Multiplier of the second hash of a window; with one of its own, both agree by chance once in about 2^128 pairs.
+SECOND = 0x9E3779B97F4A7C15
 
 _SEEDS = T.StructType([T.StructField("sid", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("h", T.LongType())])
 _WINDOWS = T.StructType([T.StructField(c, T.LongType()) for c in ("sid", "h", "h2")] + [T.StructField("off", T.IntegerType())])
@@ -85,7 +87,7 @@ def _windowed(length: int, k: int):
             np.add.at(mark, np.clip(place + 1, 0, n), -1)
             broken = np.cumsum(np.concatenate([[0], flat < 0]))
             at = np.flatnonzero((np.cumsum(mark)[:-1] > 0) & inside(bounds, length) & (broken[length:] == broken[:-length]))
-            h, h2 = rolling(mixed(flat, 1), length)[at], rolling(mixed(flat, 2), length)[at]
+            h, h2 = rolling(mixed(flat, 1), length)[at], rolling(mixed(flat, 2), length, SECOND)[at]
             of = np.searchsorted(bounds, at, "right") - 1
             sid = batch.column("sid").to_numpy(zero_copy_only=False)[of]
             yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(h.view(np.int64)), pa.array(h2.view(np.int64)), pa.array((at - bounds[of]).astype(np.int32))], schema=arrow)
@@ -103,7 +105,7 @@ def _all_windows(k: int):
                 continue
             broken = np.cumsum(np.concatenate([[0], flat < 0]))
             at = np.flatnonzero(inside(bounds, k) & (broken[k:] == broken[:-k]))
-            h, h2 = rolling(mixed(flat, 1), k)[at], rolling(mixed(flat, 2), k)[at]
+            h, h2 = rolling(mixed(flat, 1), k)[at], rolling(mixed(flat, 2), k, SECOND)[at]
             of = np.searchsorted(bounds, at, "right") - 1
             sid = batch.column("sid").to_numpy(zero_copy_only=False)[of]
             yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(h.view(np.int64)), pa.array(h2.view(np.int64)), pa.array((at - bounds[of]).astype(np.int32))], schema=arrow)

@@ -20,16 +20,18 @@ from pyspark.sql.pandas.types import to_arrow_schema
 LIMIT = 255
 OVERLAP = 16
 # The strength of the boundary after a mark; a hard cut has none.
-STRENGTH = {"<p>": 4, ".": 3, "?": 3, "!": 3, ";": 2, ":": 2, ",": 1}
+STRENGTH = {
+    "<p>": 4, ".": 3, "?": 3, "!": 3, "…": 3, "。": 3, "．": 3, "？": 3, "！": 3, "؟": 3, "।": 3, ";": 2, ":": 2, "；": 2, "：": 2, "؛": 2, ",": 1, "，": 1, "、": 1, "،": 1,
+}
 
 
-def boundary_vids(vocab: DataFrame) -> dict[str, dict[int, int]]:
-    """Strength by vid for each side.  Marks are a fixed short list, so is the result; alias rows count like others."""
-    rows = vocab.where(F.col("surface").isin(list(STRENGTH)) & F.col("side").isNotNull() & F.col("vid").isNotNull())
+def boundary_vids(vocab: DataFrame, marks: dict[str, int] = STRENGTH) -> dict[str, dict[int, int]]:
+    """Strength by vid for each side.  Marks are a short list, so is the result; alias rows count like others."""
+    rows = vocab.where(F.col("surface").isin(list(marks)) & F.col("side").isNotNull() & F.col("vid").isNotNull())
     out: dict[str, dict[int, int]] = {}
     for r in rows.select("side", "vid", "surface").distinct().collect():
         side = out.setdefault(r.side, {})
-        side[r.vid] = max(side.get(r.vid, 0), STRENGTH[r.surface])
+        side[r.vid] = max(side.get(r.vid, 0), marks[r.surface])
     return out
 
 
@@ -91,10 +93,11 @@ def split_points(toks: list[int | None], strength: dict[int, int], limit: int =
     return [(ends[k], power[k]) for k in range(len(ends)) if alive[k]]
 
 
-def split_sequences(corpus: DataFrame, vocab: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+def split_sequences(corpus: DataFrame, vocab: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, strength: dict[str, int] = STRENGTH) -> DataFrame:
     """Pieces of every sequence above the limit: ``side, sid, piece, start, end, new_from, natural, toks``.
 
-    ``start`` is the first token of the piece, ``new_from`` where it stops repeating the piece before; ``natural`` tells
+    ``strength`` gives the marks after which a cut is natural, and how strong the boundary is; a boundary of less is given
+    up first.  ``start`` is the first token of the piece, ``new_from`` where it stops repeating the piece before; ``natural`` tells
     whether the piece ends at a mark, a paragraph token or the sequence's end.  Rows of one (side, sid) are one
     sequence: the oversized rows are filtered at the scan, before the one shuffle that removes repeats.  Null or short
     ``toks`` and null sides or sids give no pieces, null tokens are no marks.  Extra columns are ignored.
@@ -108,7 +111,7 @@ def split_sequences(corpus: DataFrame, vocab: DataFrame, limit: int = LIMIT, ove
         ]
     )
     arrow = to_arrow_schema(out)
-    marks = boundary_vids(vocab)
+    marks = boundary_vids(vocab, strength)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

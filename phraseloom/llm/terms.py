@@ -5,7 +5,7 @@ record, not per token; a record that holds a large share of all rows is cut into
 a (record, term) pair lies in one slice, counts add up.  Each task streams its records in order, so repeated positions
 fall out, and counts into a burst trie: terms are bytes, a container of term tails bursts into a node when it grows, and what
 leaves the task is one compact subtree per container.  Prefixes that hold many terms over all workers become routes of
-their own, down to two bytes; matching subtrees meet on their route and are merged there.
+their own, of any length; matching subtrees meet on their route and are merged there.
 """
 
 from __future__ import annotations
@@ -256,14 +256,36 @@ def choose_routes(weights: dict[bytes, int], target: int = ROUTE_TERMS, most: in
     return {p: k for k, p in enumerate(sorted(routes))}
 
 
+def deeper_routes(trees: DataFrame, routes: dict[bytes, int], weights: dict[bytes, int], target: int = ROUTE_TERMS, most: int = MAX_ROUTES, step: int = 2) -> dict[bytes, int]:
+    """Routes below those that are still too heavy, ``step`` bytes further each time, until none is or ``most`` are made.
+
+    Only prefixes that carry a fair part of a route's terms come to the driver, the heaviest first and at most ``most``;
+    terms below the others stay on the route above.
+    """
+    heavy, depth = [p for p, n in weights.items() if len(p) == step and n > target], step
+    whole = F.explode(F.transform("tails", lambda t: F.concat(F.col("prefix"), t))).alias("term")
+    while heavy and len(routes) < most:
+        above = F.substring("term", 1, depth)
+        known = trees.sparkSession.createDataFrame([(bytearray(p),) for p in heavy], "above binary")
+        heads = trees.select(whole).select(above.alias("above"), F.substring("term", 1, depth + step).alias("head")).where(F.length("head") > depth)
+        counts = heads.join(F.broadcast(known), "above").groupBy("head").count().where(F.col("count") > target // 16)
+        found = {bytes(r.head): r["count"] for r in counts.orderBy(F.desc("count"), "head").limit(most - len(routes)).collect()}
+        for p in sorted(found):
+            routes[p] = len(routes)
+        depth += step
+        heavy = [p for p, n in found.items() if len(p) == depth and n > target]
+    return routes
+
+
 def _route(batches: Iterator[pa.RecordBatch], routes: dict[bytes, int], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    longest = max(map(len, routes))
     for batch in batches:
         out = []
         for k in range(batch.num_rows):
             row = batch.slice(k, 1).to_pydict()
             prefix, parts = row["prefix"][0], {}
             for tail, o, r in zip(row["tails"][0], row["occ"][0], row["rec"][0]):
-                head = (prefix + tail)[:2]
+                head = (prefix + tail)[:longest]
                 while head not in routes:
                     head = head[:-1]
                 parts.setdefault(routes[head], []).append((tail, o, r))
@@ -284,7 +306,7 @@ def _merged(batches: Iterator[pa.RecordBatch], numeric: bool, arrow: pa.Schema)
         yield pa.RecordBatch.from_arrays([pa.array(terms, arrow.field(0).type), pa.array(occ, pa.int64()), pa.array(rec, pa.int64())], schema=arrow)
 
 
-def term_counts(df: DataFrame, term: str, record: str, place: str, rare_below: int = 3, common_share: float = 0.2) -> DataFrame:
+def term_counts(df: DataFrame, term: str, record: str, place: str, rare_below: int = 3, common_share: float = 0.2, route_terms: int = ROUTE_TERMS) -> DataFrame:
     """``term, n_occ, n_records, mark`` for every term: 'rare' in fewer than ``rare_below`` records, 'common' in more than
     ``common_share`` of all, else null; 'rare' goes before 'common'.
 
@@ -313,7 +335,7 @@ def term_counts(df: DataFrame, term: str, record: str, place: str, rare_below: i
     heads = trees.select(F.explode(F.transform("tails", lambda t: F.substring(F.concat(F.col("prefix"), t), 1, 2))).alias("head"))
     # At most 65,793 heads of up to two bytes exist.
     weights = {bytes(r.head): r["count"] for r in heads.groupBy("head").count().collect()}
-    routes = choose_routes(weights)
+    routes = deeper_routes(trees, choose_routes(weights, route_terms), weights, route_terms)
     merged = trees.mapInArrow(lambda b: _route(b, routes, routed), _ROUTED).repartition(tasks, "route").mapInArrow(lambda b: _merged(b, numeric, final), out)
     part = Fraction(common_share).limit_denominator(10_000)
     mark = F.when(F.col("n_records") < rare_below, F.lit("rare")).when(F.col("n_records") * part.denominator > part.numerator * total, F.lit("common"))

@@ -19,11 +19,11 @@ def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return h
 
 
-def rolling(h: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each ``n`` consecutive values of ``h``."""
+def rolling(h: np.ndarray, n: int, by: int = 0x100000001B3) -> np.ndarray:
+    """A hash of each ``n`` consecutive values of ``h``; another multiplier gives an independent one."""
     out = np.zeros(max(0, len(h) - n + 1), np.uint64)
     for j in range(n):
-        out *= np.uint64(0x100000001B3)
+        out *= np.uint64(by)
         out += h[j : j + len(out)]
     return out
 

@@ -99,6 +99,17 @@ def test_int_keys_keep_order(v):
         assert (a < b) == (terms.int_key(a) < terms.int_key(b))
 
 
+def test_routes_of_any_length(spark):
+    words = [f"internationalisation{x:03d}" for x in range(400)] + ["in", "zebra"]
+    df = spark.createDataFrame([(w, i % 7, i) for i, w in enumerate(words * 2)], "t string, rec int, pos int")
+    got = {r.t: (r.n_occ, r.n_records) for r in terms.term_counts(df, "t", "rec", "pos", route_terms=50).collect()}
+    assert got == {w: (2, len({i % 7 for i in (k, k + len(words))})) for k, w in enumerate(words)}
+    trees = spark.createDataFrame([(b"", [w.encode() for w in words], [1] * len(words), [1] * len(words))], terms._SUBTREE)
+    weights = {b"in": 401, b"ze": 1}
+    routes = terms.deeper_routes(trees, terms.choose_routes(weights, 50), weights, 50)
+    assert max(map(len, routes)) >= 20 and len(set(routes.values())) == len(routes)
+
+
 def test_routes_split_where_terms_are_many():
     routes = terms.choose_routes({b"aa": 10, b"ab": 10, b"b": 1, b"a": 1, b"": 1}, target=11)
     assert set(routes) == {b"", b"a", b"b", b"aa", b"ab"}
