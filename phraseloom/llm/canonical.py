@@ -156,11 +156,10 @@ def _macros() -> list[str]:
         # Blocks without combining marks and without characters that composition replaces need no look-up.
         "create macro may_compose(t) as regexp_matches(t, '[^\\x00-\\x{2FF}\\x{370}-\\x{373}\\x{388}-\\x{482}\\x{48A}-\\x{52F}\\x{2010}-\\x{2027}]')",
         "create macro composed(t) as case when may_compose(t) then nfc_normalize(t) else t end",
+        f"create macro stripped(t) as case when has_odd(t) then {plain} else t end",
         f"create macro narrowed(t) as case when has_rest(t) then spelled({_translate('t', ''.join(one), ''.join(one.values()))}) else t end",
-        f"create macro mapped(t) as composed(case when has_odd(t) then narrowed({plain}) else t end)",
         f"create macro unmixed_word(w) as case when has_mixed(w) then {_unmixed('w')} else w end",
         "create macro unmixed(t) as case when has_mixed(t) then array_to_string(list_transform(regexp_extract_all(t, '\\p{L}+|\\P{L}+'), lambda w: unmixed_word(w)), '') else t end",
-        "create macro canonical(t) as case when is_plain(t) then t else composed(unmixed(mapped(t))) end",
         f"create macro comparable(t) as {_translate('lower(t)', *FOLD)}",
         f"""create macro forms(t) as case when is_plain(t) then null else list_filter([
             case when regexp_matches(t, '[\\x{{FF01}}-\\x{{FF5E}}]') then 'wide' end,
@@ -172,6 +171,13 @@ def _macros() -> list[str]:
     ]
 
 
+# One step a subquery: nested in one expression, each macro would repeat the text of those below it several times.
+_STEPS = ("stripped", "narrowed", "composed", "unmixed", "composed")
+_FORM = "select i, t, is_plain(t) as plain, t as c from b"
+for _step in _STEPS:
+    _FORM = f"select i, t, plain, case when plain then c else {_step}(c) end as c from ({_FORM})"
+
+
 class Canonicaliser:
     """A worker's DuckDB with the macros of this module."""
 
@@ -193,7 +199,7 @@ class Canonicaliser:
         """The form of each text; texts that change are formed again until they don't."""
         out, at, now = None, None, pa.table({"i": pa.array(range(len(col)), pa.int64()), "t": col.cast(pa.string())})
         while True:
-            got = self.query(now, "select i, c, coalesce(c <> t, false) as moved from (select i, t, canonical(t) as c from b) order by i").combine_chunks()
+            got = self.query(now, f"select i, c, coalesce(c <> t, false) as moved from ({_FORM}) order by i").combine_chunks()
             out = got["c"].combine_chunks() if out is None else pc.replace_with_mask(out, at, got["c"].combine_chunks())
             if not pc.any(got["moved"]).as_py():
                 return out
