@@ -3,18 +3,21 @@
 Sizes are token counts of a public tokenizer.  A text above the capacity is cut into full pieces, each a container of
 its own, and a remainder that is packed like any other item.  Items are spread over shards of bounded size by hash;
 each shard is evolved by several islands, which start from different solutions and exchange their best ones along a
-ring between epochs.  Selection prefers fewer containers, then fuller full ones, so the room left over gathers in few
-containers of a shard.  Those are opened again and their items packed over all shards by a further level of the same
-kind, until one shard is left.
+ring between epochs, until the shard has as few containers as its tokens need or an epoch helps no island.  Selection
+prefers fewer containers, then fuller full ones, so the room left over gathers in few containers of a shard.  All that are
+not full are opened again, and their items packed over all shards by a further level of the same kind, which starts from
+what it got among others, until one shard is left.
 """
 
 from __future__ import annotations
 
 import base64
+import gc
 import os
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -23,15 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from phraseloom.session import materialize
+from phraseloom.session import materialize, scratch
 
 TOKENIZERS = "/opt/tokenizers"
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 CAPACITY = 2048
 SHARD_ITEMS = 4096
-ISLANDS, EPOCHS, GENERATIONS, POPULATION = 3, 2, 3, 4
-#: A shard's containers below this fill, and its least filled one, are opened for the next level.
-WELL_FILLED = 0.99
+#: ``EPOCHS`` is the least number of epochs, so that islands meet; ``GENERATIONS`` are those of one epoch.
+ISLANDS, EPOCHS, GENERATIONS, POPULATION = 3, 2, 16, 8
 
 
 @lru_cache(maxsize=2)
@@ -65,16 +67,18 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 class Packing:
-    """One solution: containers as item lists, with their loads."""
+    """One solution: containers as item lists, with their loads; it stays as it is once its cost is known."""
 
-    __slots__ = ("bins", "loads")
+    __slots__ = ("bins", "loads", "_cost")
 
     def __init__(self, bins: list[list[int]], loads: list[int]) -> None:
-        self.bins, self.loads = bins, loads
+        self.bins, self.loads, self._cost = bins, loads, None
 
-    def cost(self, capacity: int) -> tuple[int, float]:
-        """Fewer containers first, then fuller full ones."""
-        return len(self.bins), -float(np.square(np.array(self.loads, np.float64) / capacity).sum())
+    def cost(self, capacity: int) -> tuple[int, int]:
+        """Fewer containers first, then fuller full ones; whole numbers, so that equal fillings are equal in any order."""
+        if self._cost is None:
+            self._cost = len(self.bins), -sum(map(mul, self.loads, self.loads))
+        return self._cost
 
     def assignment(self, n: int) -> np.ndarray:
         out = np.empty(n, np.int32)
@@ -87,18 +91,28 @@ def best_fit(items: list[int], sizes: list[int], capacity: int, start: Packing |
     """Put each item, in the order given, where least room is left over."""
     bins = start.bins if start else []
     loads = start.loads if start else []
-    room = sorted((capacity - load, b) for b, load in enumerate(loads))
+    # Room and container as one number, and one above all; full containers are left out, as every item has a size.
+    w = (len(bins) + len(items)).bit_length()
+    mask, end = (1 << w) - 1, capacity + 1 << w
+    room = sorted([(capacity - load << w) + b for b, load in enumerate(loads) if load < capacity])
+    room.append(end)
     for i in items:
-        k = bisect_left(room, (sizes[i], -1))
-        if k < len(room):
-            free, b = room.pop(k)
+        size = sizes[i]
+        k = bisect_left(room, size << w)
+        x = room[k]
+        if x < end:
+            del room[k]
+            b = x & mask
             bins[b].append(i)
-            loads[b] += sizes[i]
+            loads[b] += size
         else:
-            free, b = capacity, len(bins)
+            b = len(bins)
+            x = (capacity << w) + b
             bins.append([i])
-            loads.append(sizes[i])
-        insort(room, (free - sizes[i], b))
+            loads.append(size)
+        x -= size << w
+        if x > mask:
+            insort(room, x)
     return Packing(bins, loads)
 
 
@@ -109,31 +123,60 @@ def from_assignment(at: np.ndarray, sizes: list[int]) -> Packing:
     return Packing(bins, [sum(sizes[i] for i in b) for b in bins])
 
 
+def exchange(p: Packing, free: list[int], sizes: list[int], capacity: int) -> list[int]:
+    """Swap one item of each container with room for the free item that fills it most; the items free then, largest first."""
+    n = len(sizes)
+    left = sorted([sizes[i] * n + i for i in free])
+    for b in sorted((b for b, load in enumerate(p.loads) if load < capacity), key=lambda b: -p.loads[b]):
+        room, gain, best = capacity - p.loads[b], 0, (0, 0)
+        for at, i in enumerate(p.bins[b]):
+            k = bisect_left(left, (sizes[i] + room + 1) * n) - 1
+            if k >= 0 and left[k] // n - sizes[i] > gain:
+                gain, best = left[k] // n - sizes[i], (at, k)
+                if gain == room:
+                    break
+        if gain:
+            at, k = best
+            i, p.bins[b][at] = p.bins[b][at], left.pop(k) % n
+            p.loads[b] += gain
+            insort(left, sizes[i] * n + i)
+    return [x % n for x in reversed(left)]
+
+
+def _cost_of(at: np.ndarray, sizes: list[int]) -> tuple[int, int]:
+    """:meth:`Packing.cost` of an assignment."""
+    loads = [int(x) for x in np.bincount(at, weights=sizes) if x]
+    return len(loads), -sum(map(mul, loads, loads))
+
+
 def crossover(a: Packing, b: Packing, sizes: list[int], capacity: int, rng: np.random.Generator) -> Packing:
-    """Inject well-filled containers of ``b`` into ``a``; what they displace is put back by best fit."""
-    by_fill = sorted(range(len(b.bins)), key=lambda k: -b.loads[k])
+    """Inject well-filled containers of ``b`` into ``a``; what they displace is exchanged and put back by best fit."""
+    by_fill = sorted(range(len(b.bins)), key=b.loads.__getitem__, reverse=True)
     good = by_fill[: max(1, len(by_fill) // 2)]
     take = rng.choice(len(good), size=max(1, len(good) // 4), replace=False)
     injected = [b.bins[good[k]] for k in take]
-    owned = {i for items in injected for i in items}
-    bins, loads, displaced = [list(x) for x in injected], [b.loads[good[k]] for k in take], []
+    owned = set().union(*injected)
+    bins, loads, displaced = [items[:] for items in injected], [b.loads[good[k]] for k in take], []
     for items, load in zip(a.bins, a.loads):
         if owned.isdisjoint(items):
-            bins.append(list(items))
+            bins.append(items[:])
             loads.append(load)
         else:
-            displaced += [i for i in items if i not in owned]
-    displaced.sort(key=lambda i: -sizes[i])
-    return best_fit(displaced, sizes, capacity, Packing(bins, loads))
+            displaced += items
+    child = Packing(bins, loads)
+    return best_fit(exchange(child, [*set(displaced) - owned], sizes, capacity), sizes, capacity, child)
 
 
 def mutate(p: Packing, sizes: list[int], capacity: int, rng: np.random.Generator) -> Packing:
-    """Empty the least filled containers and a few others, and put their items back by best fit."""
-    by_fill = sorted(range(len(p.bins)), key=lambda k: p.loads[k])
-    gone = {*by_fill[: max(1, len(by_fill) // 20)], *rng.choice(len(p.bins), size=max(1, len(p.bins) // 20), replace=False).tolist()}
-    free = sorted((i for k in gone for i in p.bins[k]), key=lambda i: -sizes[i])
+    """Empty some of the least filled containers and some others, one to a twentieth of all each; their items are
+    exchanged and put back by best fit."""
+    by_fill = sorted(range(len(p.bins)), key=p.loads.__getitem__)
+    low, other = (round(max(1, len(by_fill) // 20) ** x) for x in rng.random(2))
+    gone = {*by_fill[:low], *rng.choice(len(by_fill), size=other, replace=False).tolist()}
+    free = [i for k in gone for i in p.bins[k]]
     kept = [k for k in range(len(p.bins)) if k not in gone]
-    return best_fit(free, sizes, capacity, Packing([list(p.bins[k]) for k in kept], [p.loads[k] for k in kept]))
+    child = Packing([p.bins[k][:] for k in kept], [p.loads[k] for k in kept])
+    return best_fit(exchange(child, free, sizes, capacity), sizes, capacity, child)
 
 
 def starts(sizes: list[int], capacity: int, rng: np.random.Generator, population: int) -> list[Packing]:
@@ -147,13 +190,16 @@ def starts(sizes: list[int], capacity: int, rng: np.random.Generator, population
 
 
 def evolve(sizes: list[int], capacity: int, known: list[np.ndarray], seed: tuple[int, ...], generations: int = GENERATIONS, population: int = POPULATION) -> tuple[list[Packing], int]:
-    """One epoch of an island: its solutions, best first, and the generations that it ran.
+    """One epoch of an island: its solutions, best first, and the generations that it ran.  It starts from the ``known``
+    solutions, and different ones of its own if they are fewer than the population.
 
     Solutions that have the fewest containers possible go on to be improved, as their rest is packed with other shards';
     only one whose containers are all full but one can't be.
     """
     rng = np.random.default_rng(list(seed))
-    pool = [from_assignment(at, sizes) for at in known] or starts(sizes, capacity, rng, population)
+    pool = [from_assignment(at, sizes) for at in known]
+    if len(pool) < population:
+        pool += starts(sizes, capacity, rng, population - len(pool))
     for done in range(generations):
         best = min(pool, key=lambda p: p.cost(capacity))
         if sum(load < capacity for load in best.loads) <= 1:
@@ -167,7 +213,7 @@ def evolve(sizes: list[int], capacity: int, known: list[np.ndarray], seed: tuple
     return pool, generations
 
 
-_STATE = "shard bigint, island int, sizes array<int>, pool array<array<int>>, n_bins int, fill double, n_fit int, generations int"
+_STATE = "shard bigint, island int, sizes array<int>, pool array<array<int>>, n_bins int, fill double, n_fit int, generations int, ended boolean, gained boolean"
 
 
 def _epoch(capacity: int, epoch: int):
@@ -179,35 +225,60 @@ def _epoch(capacity: int, epoch: int):
                 row = batch.slice(k, 1).to_pydict()
                 sizes = row["sizes"][0]
                 known = [np.array(p, np.int32) for p in row["pool"][0] or []]
-                pool, ran = evolve(sizes, capacity, known, (row["shard"][0], row["island"][0], epoch))
+                if not epoch and row["was"][0][0] is not None:
+                    known = [np.unique(row["was"][0], return_inverse=True)[1]]
+                before = min((_cost_of(at, sizes) for at in known), default=None)
+                # Solutions are lists without cycles; the collector would only walk through them.
+                gc.disable()
+                try:
+                    pool, ran = evolve(sizes, capacity, known, (row["shard"][0], row["island"][0], epoch))
+                finally:
+                    gc.enable()
                 bins, fill = pool[0].cost(capacity)
                 got = [p.assignment(len(sizes)).tolist() for p in pool]
-                fit = row["n_fit"][0] or len(best_fit(sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)), sizes, capacity).bins)
-                yield pa.RecordBatch.from_pydict({"shard": row["shard"], "island": row["island"], "sizes": [sizes], "pool": [got], "n_bins": [bins], "fill": [-fill], "n_fit": [fit], "generations": [(row["generations"][0] or 0) + ran]}, schema=arrow)
+                fit = row["n_fit"][0]
+                if not epoch and not row["island"][0]:
+                    fit = len(best_fit(sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)), sizes, capacity).bins)
+                least = bins == -(-sum(sizes) // capacity)
+                yield pa.RecordBatch.from_pydict({"shard": row["shard"], "island": row["island"], "sizes": [sizes], "pool": [got], "n_bins": [bins], "fill": [-float(fill)], "n_fit": [fit], "generations": [(row["generations"][0] or 0) + ran], "ended": [least], "gained": [before is None or (bins, fill) < before]}, schema=arrow)
 
     return run
 
 
 def _evolved(members: DataFrame, shards: int, capacity: int, islands: int, epochs: int) -> DataFrame:
-    """``shard, bins, n_bins, n_fit, generations``: the best solution of each shard's islands."""
+    """``shard, bins, n_bins, n_fit, generations``: the best solution of each shard's islands.
+
+    A shard's islands go on, after ``epochs``, until one has as few containers as the tokens need or none has gained in an
+    epoch.
+    """
     spark = members.sparkSession
-    tasks = min(shards * islands, 4 * spark.sparkContext.defaultParallelism * max(1, shards // 4096 + 1))
     none = [F.lit(None).cast("array<array<int>>").alias("pool"), F.lit(None).cast("int").alias("n_fit"), F.lit(0).alias("generations")]
-    state = members.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.expr("transform(members, m -> m.size)").alias("sizes"), *none)
-    for epoch in range(epochs):
-        state = materialize(state.repartition(tasks, "shard", "island").mapInArrow(_epoch(capacity, epoch), _STATE))
-        if epoch + 1 < epochs:
-            ring = Window.partitionBy("shard").orderBy("island")
-            all_of = Window.partitionBy("shard").orderBy("island").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-            elite = F.coalesce(F.lag(F.col("pool")[0]).over(ring), F.last(F.col("pool")[0]).over(all_of))
-            state = state.withColumn("elite", elite).select("shard", "island", "sizes", F.concat(F.array("elite"), "pool").alias("pool"), "n_fit", "generations")
+    of_items = [F.expr("transform(members, m -> m.size)").alias("sizes"), F.expr("transform(members, m -> m.was)").alias("was")]
+    state = members.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), *of_items, *none)
     best = F.max_by(F.col("pool")[0], F.struct(-F.col("n_bins"), "fill", -F.col("island")))
-    return state.groupBy("shard").agg(best.alias("bins"), F.min("n_bins").alias("n_bins"), F.min("n_fit").alias("n_fit"), F.sum("generations").alias("generations"))
+    of_shard = Window.partitionBy("shard")
+    ring = of_shard.orderBy("island")
+    all_of = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    elite = F.coalesce(F.lag(F.col("pool")[0]).over(ring), F.last(F.col("pool")[0]).over(all_of))
+    done, epoch, left = None, 0, shards
+    with scratch(spark):
+        while left:
+            tasks = min(left * islands, 4 * spark.sparkContext.defaultParallelism * max(1, left // 4096 + 1))
+            state = materialize(state.repartition(tasks, "shard", "island").mapInArrow(_epoch(capacity, epoch), _STATE))
+            epoch += 1
+            if epoch >= epochs:
+                over = F.max("ended") | ~F.max("gained")
+                told = state.groupBy("shard").agg(best.alias("bins"), F.min("n_bins").alias("n_bins"), F.min("n_fit").alias("n_fit"), F.sum("generations").alias("generations"), over.alias("over"))
+                done = told.where("over") if done is None else done.unionByName(told.where("over"))
+                left = told.where("not over").count()
+                state = state.withColumn("over", F.max("ended").over(of_shard) | ~F.max("gained").over(of_shard)).where("not over")
+            state = state.withColumn("elite", elite).select("shard", "island", "sizes", F.concat(F.array("elite"), "pool").alias("pool"), "n_fit", "generations")
+        return materialize(done.drop("over"), keep=True)
 
 
 def pack_levels(counts: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS, islands: int = ISLANDS, epochs: int = EPOCHS) -> tuple[DataFrame, DataFrame]:
     """The rows of :func:`pack`, and ``level, n_shards, n_fit, n_evolved, generations`` of each level: containers by best fit
-    alone, containers after the generations that all islands ran, both before the level's worst ones are opened again."""
+    alone, containers after the generations that all islands ran, both before the level's part-filled ones are opened again."""
     spark = counts.sparkSession
     held = counts.select(F.col(id_col).alias("id"), F.col("n_tokens").alias("n")).groupBy("id", "n").agg(F.count(F.lit(1)).alias("m"))
     apart = F.when(F.col("id").isNull(), F.col("m")).otherwise(F.lit(1).cast("bigint"))
@@ -217,25 +288,24 @@ def pack_levels(counts: DataFrame, id_col: str = "doc_id", capacity: int = CAPAC
     full = sized.where(whole > 0).select("id", "n", "item", F.explode(F.sequence(F.lit(0).cast("bigint"), whole - 1)).alias("piece"))
     full = full.select("id", "piece", (F.col("piece") * capacity).alias("tok_start"), ((F.col("piece") + 1) * capacity).alias("tok_end"), F.when(F.col("id").isNull(), F.concat_ws("-", F.lit("unnamed"), "n", "item", "piece")).otherwise(F.concat_ws("-", F.lit("full"), F.col("id").cast("string"), F.col("n").cast("string"), F.col("piece").cast("string"))).alias("container"))
     out = full.unionByName(items.where("n = 0 or n is null").select("id", *[F.lit(0).cast("bigint").alias(c) for c in ("piece", "tok_start", "tok_end")], F.lit(None).cast("string").alias("container")))
-    rest = sized.select("id", "n", "item", whole.alias("piece"), (F.col("n") % capacity).cast("int").alias("size")).where("size > 0")
+    rest = sized.select("id", "n", "item", whole.alias("piece"), (F.col("n") % capacity).cast("int").alias("size"), F.lit(None).cast("string").alias("was")).where("size > 0")
     spread = F.when(F.col("id").isNull(), F.xxhash64("n", "item")).otherwise(F.xxhash64("id", "n"))
     level, levels = 0, []
     left, before = sized.count(), None
     while True:
         shards = max(1, -(-left // shard_items))
-        placed = rest.withColumn("shard", F.pmod(F.xxhash64(spread, F.lit(level)), F.lit(shards)))
+        # Opened containers go whole to a shard, so that it never does worse than what it got.
+        placed = rest.withColumn("shard", F.pmod(F.xxhash64(F.xxhash64("was") if level else spread, F.lit(level)), F.lit(shards)))
         # A shard holds about shard_items items, as (id, n, item) is distinct; sorting makes the order independent of the shuffle.
-        members = materialize(placed.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("size", "id", "n", "piece", "item"))).alias("members")))
-        best = materialize(_evolved(members, shards, capacity, islands, epochs))
+        members = materialize(placed.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("size", "id", "n", "piece", "item", "was"))).alias("members")))
+        best = _evolved(members, shards, capacity, islands, epochs)
         levels.append(best.select(F.lit(level).alias("level"), "n_fit", "n_bins", "generations"))
         one = members.join(best.select("shard", "bins"), "shard").select("shard", F.posexplode("members").alias("k", "m"), "bins")
         one = materialize(one.select("shard", "m.*", F.element_at("bins", F.col("k") + 1).alias("bin")))
-        # The least filled container of each shard and all that are not well filled go to the next level.
-        load = one.groupBy("shard", "bin").agg(F.sum("size").alias("load"))
-        least = load.groupBy("shard").agg(F.min(F.struct("load", "bin")).alias("w")).select("shard", F.col("w.bin").alias("worst"))
-        opened = load.join(least, "shard").withColumn("open", (F.col("bin") == F.col("worst")) | (F.col("load") < WELL_FILLED * capacity))
-        marked = one.join(opened.select("shard", "bin", "open"), ["shard", "bin"])
-        again = materialize(marked.where("open").select("id", "n", "item", "piece", "size")) if shards > 1 else None
+        load = one.groupBy("shard", "bin").agg((F.sum("size") < capacity).alias("open"))
+        marked = one.join(load, ["shard", "bin"])
+        was = F.concat_ws("-", F.col("shard").cast("string"), F.col("bin").cast("string")).alias("was")
+        again = materialize(marked.where("open").select("id", "n", "item", "piece", "size", was)) if shards > 1 else None
         n_again = again.count() if again is not None else 0
         # A level that opens nearly all that it got would not end: it is the last one.
         last = again is None or (before is not None and n_again > left // 2) or n_again == 0

@@ -251,3 +251,30 @@ def test_evolution_beats_best_fit(spark):
     used, _ = check_packing(rows.collect(), dict(enumerate(sizes)), 100)
     stats = {r.level: r for r in levels.collect()}
     assert stats[0].generations > 0 and len(stats) > 1 and used < stats[0].n_fit
+
+
+def test_islands_go_on_until_nothing_is_gained(spark):
+    rng = random.Random(9)
+    sizes = [rng.randrange(80, 420) for _ in range(900)]
+    df = spark.createDataFrame(list(enumerate(sizes)), "i bigint, n_tokens bigint")
+    rows, levels = packing.pack_levels(df, "i", capacity=1000, shard_items=300, islands=2)
+    used, total = check_packing(rows.collect(), dict(enumerate(sizes)), 1000)
+    first = {r.level: r for r in levels.collect()}[0]
+    assert first.n_shards == 3 and first.n_evolved < first.n_fit and used == -(-total // 1000)
+    # Items that leave room in every container: no shard gets better, so the least number of epochs is run, and one level more.
+    df = spark.createDataFrame([(i, 60) for i in range(60)], "i bigint, n_tokens bigint")
+    rows, levels = packing.pack_levels(df, "i", capacity=100, shard_items=20, islands=2)
+    assert check_packing(rows.collect(), dict.fromkeys(range(60), 60), 100)[0] == 60
+    assert [r.n_evolved for r in levels.orderBy("level").collect()] == [60, 60]
+
+
+def test_a_level_never_needs_more_than_it_got():
+    rng = random.Random(10)
+    sizes = [rng.randrange(20, 60) for _ in range(90)]
+    got = packing.evolve(sizes, 100, [], (1,), generations=12, population=6)[0][0]
+    again = packing.evolve(sizes, 100, [got.assignment(90)], (2,), generations=1, population=4)[0]
+    assert again[0].cost(100) <= got.cost(100) and len({tuple(p.loads) for p in again}) > 1
+    free = list(range(10))
+    p = packing.Packing([[10, 11], [12]], [sizes[10] + sizes[11], sizes[12]])
+    left = packing.exchange(p, free, sizes, 120)
+    assert sorted(left + p.bins[0] + p.bins[1]) == list(range(13)) and p.loads == [sum(sizes[i] for i in b) for b in p.bins]
